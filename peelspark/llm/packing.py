@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import keep
+from ..store import keep
 
 #: Rests that one shard packs, on average.
 SHARD = 65_536
