@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, ngram_join, packing, token_count
+from . import langid, line_dedup, ngram_join, packing, token_count, toxicity
 from ..store import table
 
 
@@ -22,6 +22,17 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), at("byte_bpe_50k.tiktoken"), at("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rated = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return rated.select("row.doc_id", toxicity.held_out(F.col("row.doc_id"), 3, 1).alias("held_out"), "score", "predicted")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -33,6 +44,8 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_packing": op3_packing,
+    "op4_language_id": op4_language_id,
+    "op5_toxicity": op5_toxicity,
     "op8_token_counts": op8_token_counts,
     "op10_ngram_join": op10_ngram_join,
 }
