@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, line_dedup, ngram_join, packing, token_count, toxicity
+from . import decontamination, langid, line_dedup, ngram_join, packing, token_count, toxicity
 from ..store import table
 
 
@@ -33,6 +33,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("row.doc_id", toxicity.held_out(F.col("row.doc_id"), 3, 1).alias("held_out"), "score", "predicted")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    none = F.array().cast("array<bigint>")
+    out = docs.select("doc_id").join(found, "doc_id", "left")
+    return out.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("item_ids", none).alias("item_ids"), "cosine", "cover")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -46,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_language_id": op4_language_id,
     "op5_toxicity": op5_toxicity,
+    "op7_decontamination": op7_decontamination,
     "op8_token_counts": op8_token_counts,
     "op10_ngram_join": op10_ngram_join,
 }

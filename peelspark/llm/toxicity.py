@@ -57,7 +57,7 @@ def features(text: str | None) -> list[np.ndarray]:
     return [(h >> shift).astype(np.int32) for h in out]
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.5, l2: float = 0.5, passes: int = 3) -> tuple[float, np.ndarray, np.ndarray]:
+def fit(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 1.0, beta: float = 1.0, l1: float = 3.0, l2: float = 0.05, passes: int = 6) -> tuple[float, np.ndarray, np.ndarray]:
     """(bias, feature numbers, weights) of a model whose other weights are zero."""
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     bias = bias_n = 0.0
