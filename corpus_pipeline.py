@@ -1,10 +1,28 @@
-"""The corpus pipeline: stages over documents, each written and read again."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from peelspark.llm import stages
+from peelspark.store import keep, table
+
+#: Each function takes (spark, docs, sf_dir); all but the last return the columns of documents.
+STAGES = [
+    ("toxicity", stages.drop_toxic),
+    ("line_dedup", stages.drop_repeated_lines),
+    ("ngram_join", stages.drop_similar),
+    ("decontamination", stages.drop_leaks),
+    ("packing", stages.pack),
+]
+
+#: SQL cannot express the trained, tokenizing and retrieval stages; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of the documents that pass every stage."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = keep(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
