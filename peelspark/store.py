@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,3 +44,15 @@ def drop(df: DataFrame) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Bytes of a side that may be broadcast; beyond it the join is shuffled.
+BROADCAST = 16 << 20
+
+
+def without(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """``df`` less the rows whose ``on`` is in ``ids`` (one column of that name); nulls stay."""
+    ids = keep(ids.select(on).filter(f"`{on}` IS NOT NULL").distinct(), "left-out")
+    if ids.count() * 32 <= BROADCAST:
+        ids = F.broadcast(ids)
+    return df.join(ids, on, "left_anti")
