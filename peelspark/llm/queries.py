@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid, line_dedup, ngram_join, packing, token_count, toxicity
+from . import decontamination, embedding_dedup, langid, line_dedup, ngram_join, packing, pii, token_count, toxicity
 from ..store import table
 
 
@@ -17,6 +17,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", F.size("lines").cast("long").alias("n_lines"), F.size("dropped").cast("long").alias("n_dropped"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = public_tokenizers.path
     return packing.pack(table(spark, sf_dir, "documents"), at("byte_bpe_50k.tiktoken"), at("byte_bpe_50k.json"), public_tokenizers.PATTERN)
@@ -33,6 +37,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("row.doc_id", toxicity.held_out(F.col("row.doc_id"), 3, 1).alias("held_out"), "score", "predicted")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.replace(table(spark, sf_dir, "documents"), key=b"surrogates of the public test tables")
+    return out.select("row.doc_id", "n_entities", "kinds", F.col("text_out").alias("text"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
@@ -51,9 +60,11 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_packing": op3_packing,
     "op4_language_id": op4_language_id,
     "op5_toxicity": op5_toxicity,
+    "op6_pii": op6_pii,
     "op7_decontamination": op7_decontamination,
     "op8_token_counts": op8_token_counts,
     "op10_ngram_join": op10_ngram_join,
