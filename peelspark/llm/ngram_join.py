@@ -42,12 +42,15 @@ from ..operators.components import connected_components
 from ..store import drop, keep
 from .hashing import mix, text_shingles
 
-GROUPS = 32
+GROUPS = 128
+COUNT = np.dtype("<u2")
 #: A bucket with more members than this has its token moved behind all others.
 LARGE = 128
 #: Tokens that may be moved; they are sent to every executor (8 bytes each).
 MOVED = 1 << 20
-ROUNDS = 4
+ROUNDS = 3
+#: Documents looked at for the first guess at common tokens.
+SAMPLE = 4_096
 LEAF = 16
 POINTS = "doc_id long, n long, s1 long, s2 long, counts binary, keys array<long>"
 
@@ -75,7 +78,10 @@ def points(docs: DataFrame, k: int, percent: int, moved: np.ndarray) -> DataFram
                     ordered = np.concatenate((s[~common], s[common]))
                 else:
                     ordered = s
-                counts = np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<i4")
+                counts = np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+                if n and counts.max() > np.iinfo(COUNT).max:  # then the bound leaves nothing out
+                    counts[:] = np.iinfo(COUNT).max
+                counts = counts.astype(COUNT)
                 with np.errstate(over="ignore"):
                     sums = [int(x.view(np.int64)) for x in (s.sum(dtype=np.uint64), mix(s).sum(dtype=np.uint64))]
                 rows.append((doc, n, *sums, counts.tobytes(), ordered[:first].view(np.int64)))
@@ -105,7 +111,7 @@ class CountTree:
             fits = (100 * low <= (size * 10_000) // percent) & (100 * high >= percent * size)
             at = at[fits]
             # a smaller partner asks for the least overlap
-            at = at[np.minimum(most[fits], counts).sum(1) >= need(size, np.maximum(low[fits], -(-percent * size // 100)), percent)]
+            at = at[np.minimum(most[fits], counts).sum(1, dtype=np.int64) >= need(size, np.maximum(low[fits], -(-percent * size // 100)), percent)]
             if depth:
                 width = len(self.levels[depth - 1][1])
                 at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
@@ -126,21 +132,24 @@ def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield rest
 
 
-def tree_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a bucket and survive the bound, each once."""
+def tree_pairs(members: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Pairs of different components that share a bucket and survive the bound, each once; with ``best`` only each one's likeliest partner."""
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in _groups(batches):
             out = []
             for _, g in b.groupby("key", sort=False):
                 docs, parts, sizes = (g[c].to_numpy() for c in ("doc_id", "component", "n"))
-                counts = np.frombuffer(b"".join(g["counts"]), "<i4").reshape(-1, GROUPS)
+                counts = np.frombuffer(b"".join(g["counts"]), COUNT).reshape(-1, GROUPS)
                 tree = CountTree(counts, sizes)
                 for i in range(len(docs)):
                     found = tree.search(counts[i], int(sizes[i]), percent)
-                    found = found[(docs[found] > docs[i]) & (parts[found] != parts[i])]
+                    found = found[(parts[found] != parts[i]) & (best | (docs[found] > docs[i]))]
+                    if best and len(found):
+                        likely = np.minimum(counts[found], counts[i]).sum(1, dtype=np.int64) / (sizes[found] + sizes[i])
+                        found = found[np.lexsort((docs[found], -likely))[:1]]
                     out.append(np.stack((np.full(len(found), docs[i]), docs[found]), 1))
-            pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+            pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0) if out else np.zeros((0, 2), np.int64)
             yield pd.DataFrame(pairs, columns=["a", "b"])
 
     dealt = members.repartition("key").sortWithinPartitions("key")
@@ -171,57 +180,79 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return links
 
 
+def common_tokens(docs: DataFrame, k: int) -> np.ndarray:
+    """Tokens of several documents of a bounded sample: a first guess at those of large buckets, which any order allows."""
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"key": np.concatenate([np.zeros(0, np.uint64), *(text_shingles(t, k) for t in b["text"])]).view(np.int64)})
+
+    total = docs.count()
+    draw = F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(1 << 30)) / float(1 << 30)
+    sample = docs.filter(draw < min(1.0, SAMPLE / max(1, total))).select("text").distinct()
+    often = sample.mapInPandas(sets, "key long").groupBy("key").count().filter(F.col("count") >= 3)
+    return np.unique(often.orderBy(F.desc("count"), "key").limit(MOVED // 2).toPandas()["key"].to_numpy(np.int64).view(np.uint64))
+
+
+def grown(links: DataFrame) -> DataFrame:
+    return keep(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "parts")
+
+
+def still_open(members: DataFrame, parts: DataFrame, light: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components, with these and their points."""
+    placed = members.join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+    return placed.join(several, "key", "left_semi").join(light, "doc_id")
+
+
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row."""
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    moved = np.zeros(0, np.uint64)
+    spark = docs.sparkSession
+    moved = common_tokens(docs, k)
     rows = keep(points(docs, k, percent, moved), "points")
     signature = ["n", "s1", "s2"]
     classes = keep(rows.filter("n > 0").groupBy(*signature).agg(F.min("doc_id").alias("class_id")), "classes")
     firsts = classes.select(F.col("class_id").alias("doc_id"), *signature).filter("doc_id IS NOT NULL")
-    own = keep(rows.join(firsts, ["doc_id", *signature], "left_semi").dropDuplicates(["doc_id", *signature]), "class-points")
+    first_of = lambda points: points.join(firsts, ["doc_id", *signature], "left_semi")
+    own = first_of(rows)
+    anew = None
 
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS + 1):
         shared = keep(own.select(F.explode("keys").alias("key")).groupBy("key").count().filter("count > 1"), "shared")
-        large = shared.filter(F.col("count") > LARGE)
-        if len(moved):
-            large = large.join(docs.sparkSession.createDataFrame(pd.DataFrame({"key": moved.view(np.int64)})), "key", "left_anti")
+        if turn == ROUNDS:
+            break
+        sent = spark.createDataFrame(pd.DataFrame({"key": moved.view(np.int64)}), "key long")
+        large = shared.filter(F.col("count") > LARGE).join(sent, "key", "left_anti")
         more = large.orderBy(F.desc("count"), "key").limit(MOVED - len(moved)).toPandas()["key"].to_numpy(np.int64)
         if not len(more):
             break
         moved = np.unique(np.concatenate((moved, more.view(np.uint64))))
-        back = docs.sparkSession.createDataFrame(pd.DataFrame({"key": more}))
+        back = spark.createDataFrame(pd.DataFrame({"key": more}), "key long")
         touched = own.select("doc_id", F.explode("keys").alias("key")).join(back, "key", "left_semi").select("doc_id").distinct()
+        if anew is not None:  # those taken anew before are so again
+            touched = touched.union(anew.select("doc_id")).distinct()
         touched = keep(touched, "touched")
-        anew = points(docs.join(touched, "doc_id", "left_semi"), k, percent, moved).join(firsts, ["doc_id", *signature], "left_semi").dropDuplicates(["doc_id", *signature])
-        after = keep(own.join(touched, "doc_id", "left_anti").unionByName(anew), "class-points")
-        for old in (own, shared, touched):
-            drop(old)
-        own = after
-    else:
-        shared = keep(own.select(F.explode("keys").alias("key")).groupBy("key").count().filter("count > 1"), "shared")
+        anew = keep(first_of(points(docs.join(touched, "doc_id", "left_semi"), k, percent, moved)), "anew")
+        own = first_of(rows).join(touched, "doc_id", "left_anti").unionByName(anew)
+        drop(shared)
 
     # buckets with the same members count once
-    filled = own.select("doc_id", F.explode("keys").alias("key")).join(shared, "key").select("key", "doc_id")
-    filled = keep(filled.distinct(), "filled")
+    filled = keep(own.select("doc_id", F.explode("keys").alias("key")).join(shared.select("key"), "key").select("key", "doc_id").distinct(), "filled")
     alike = filled.groupBy("key").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.sum("doc_id").alias("total"), F.min("doc_id").alias("least"))
     buckets = keep(alike.groupBy("members", "x", "total").agg(F.min("key").alias("key"), F.min("least").alias("least")).filter("members > 1").select("key", "least"), "buckets")
     members = keep(filled.join(buckets, "key"), "members")
     drop(filled)
 
-    light = own.select("doc_id", "n", "counts")
-    stars = members.filter("least <> doc_id").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
-    sizes_a, sizes_b = (own.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("counts").alias(f"c_{x}")) for x in "ab")
-    stars = _bounded(stars.join(sizes_b, "b").join(sizes_a, "a"), percent)
-    links = verified(keep(stars, "stars"), docs, k, percent)
-    parts = keep(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "parts")
-
-    placed = members.join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    left = placed.join(open_keys, "key", "left_semi").join(light, "doc_id")
-    more = verified(keep(tree_pairs(left, percent), "tree-pairs"), docs, k, percent)
-    links = links.unionByName(more)
-    parts = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    light = keep(own.join(members.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n", "counts"), "light")
+    stars = members.filter("least <> doc_id").groupBy("doc_id").agg(F.min("least").alias("a")).select("a", F.col("doc_id").alias("b"))
+    of_a, of_b = (light.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("counts").alias(f"c_{x}")) for x in "ab")
+    links = verified(keep(_bounded(stars.join(of_b, "b").join(of_a, "a"), percent), "stars"), docs, k, percent)
+    # the likeliest partners first, so that groups of near copies are closed before all pairs that are left
+    for best in (True, False):
+        left = still_open(members, grown(links), light)
+        links = links.unionByName(verified(keep(tree_pairs(left, percent, best), "tree-pairs"), docs, k, percent))
+    parts = grown(links)
 
     found = classes.join(parts.withColumnRenamed("id", "class_id"), "class_id", "left").select(*signature, F.coalesce("component", "class_id").alias("component"))
     out = rows.select("doc_id", *signature).join(found, signature, "left")
@@ -234,8 +265,8 @@ def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
     def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                x, y = (np.frombuffer(b"".join(b[c]), "<i4").reshape(-1, GROUPS) for c in ("c_a", "c_b"))
-                yield b.loc[np.minimum(x, y).sum(1) >= need(b["n_a"], b["n_b"], percent).to_numpy(), ["a", "b"]]
+                x, y = (np.frombuffer(b"".join(b[c]), COUNT).reshape(-1, GROUPS) for c in ("c_a", "c_b"))
+                yield b.loc[np.minimum(x, y).sum(1, dtype=np.int64) >= need(b["n_a"], b["n_b"], percent).to_numpy(), ["a", "b"]]
 
     fits = (F.col("n_a") * percent <= F.col("n_b") * 100) & (F.col("n_b") * percent <= F.col("n_a") * 100)
     return pairs.filter(fits).select("a", "b", "n_a", "n_b", "c_a", "c_b").mapInPandas(bound, "a long, b long")
