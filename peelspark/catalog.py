@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .queries import derived, drilldown, iterative, relational  # noqa: F401  they register themselves
+from .queries.base import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "O-fixedpoint"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

@@ -49,3 +49,19 @@ def connected_components(edges: DataFrame, max_steps: int = 60) -> DataFrame:
         if done:
             break
     return vertices.join(state.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def component_edges(edges: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Components of ``edges(src, dst)``, inside equal ``keys`` if any: ``*keys, id, component``."""
+    if not keys:
+        return connected_components(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")))
+    tag = lambda c: F.struct(*(F.col(k) for k in keys), F.col(c).alias("vertex"))
+    parts = connected_components(edges.select(tag("src").alias("u"), tag("dst").alias("v")))
+    return parts.select(*(F.col(f"id.{k}").alias(k) for k in keys), F.col("id.vertex").alias("id"), F.col("component.vertex").alias("component"))
+
+
+def partition_components(edges: DataFrame, values: DataFrame) -> DataFrame:
+    """Components of the edges between vertices of equal ``values(id, value)``; lone vertices are their own."""
+    s, d = (values.select(F.col("id").alias(c), F.col("value").alias(f"v_{c}")) for c in ("src", "dst"))
+    same = edges.join(s, "src").join(d, "dst").filter("v_src = v_dst")
+    return values.join(component_edges(same), "id", "left").select("id", "value", F.coalesce("component", "id").alias("component"))
