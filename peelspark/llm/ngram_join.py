@@ -45,13 +45,15 @@ from .hashing import mix, text_shingles
 GROUPS = 128
 COUNT = np.dtype("<u2")
 #: A bucket with more members than this has its token moved behind all others.
-LARGE = 128
+LARGE = 512
+#: Keys of shared buckets that may be broadcast (about 40 bytes each); beyond it they are joined by a shuffle.
+SHARED = 2_000_000
 #: Tokens that may be moved; they are sent to every executor (8 bytes each).
 MOVED = 1 << 20
 ROUNDS = 3
-#: Documents looked at for the first guess at common tokens.
-SAMPLE = 4_096
-LEAF = 16
+#: One in so many documents is looked at for the first guess at common tokens; a token of three of them is one.
+SAMPLE = 32
+LEAF, SMALL = 16, 64
 POINTS = "doc_id long, n long, s1 long, s2 long, counts binary, keys array<long>"
 
 
@@ -141,6 +143,18 @@ def tree_pairs(members: DataFrame, percent: int, best: bool) -> DataFrame:
             for _, g in b.groupby("key", sort=False):
                 docs, parts, sizes = (g[c].to_numpy() for c in ("doc_id", "component", "n"))
                 counts = np.frombuffer(b"".join(g["counts"]), COUNT).reshape(-1, GROUPS)
+                if len(docs) <= SMALL:  # a tree of a few leaves: all of them at once
+                    shared = np.minimum(counts[:, None], counts[None]).sum(2, dtype=np.int64)
+                    fits = (shared >= need(sizes[:, None], sizes[None], percent)) & (parts[:, None] != parts[None])
+                    fits &= 100 * np.minimum(sizes[:, None], sizes[None]) >= percent * np.maximum(sizes[:, None], sizes[None])
+                    if best:
+                        likely = np.where(fits, shared / (sizes[:, None] + sizes[None]), -1.0)
+                        i, j = np.arange(len(docs)), likely.argmax(1)
+                        i, j = i[likely[i, j] >= 0], j[likely[i, j] >= 0]
+                    else:
+                        i, j = np.nonzero(np.triu(fits, 1))
+                    out.append(np.stack((docs[i], docs[j]), 1))
+                    continue
                 tree = CountTree(counts, sizes)
                 for i in range(len(docs)):
                     found = tree.search(counts[i], int(sizes[i]), percent)
@@ -181,15 +195,13 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
 
 
 def common_tokens(docs: DataFrame, k: int) -> np.ndarray:
-    """Tokens of several documents of a bounded sample: a first guess at those of large buckets, which any order allows."""
+    """Tokens of several documents of a sample: a first guess at those of large buckets, which any order allows."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"key": np.concatenate([np.zeros(0, np.uint64), *(text_shingles(t, k) for t in b["text"])]).view(np.int64)})
 
-    total = docs.count()
-    draw = F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(1 << 30)) / float(1 << 30)
-    sample = docs.filter(draw < min(1.0, SAMPLE / max(1, total))).select("text").distinct()
+    sample = docs.filter(F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(SAMPLE)) == 0).dropDuplicates(["text"])
     often = sample.mapInPandas(sets, "key long").groupBy("key").count().filter(F.col("count") >= 3)
     return np.unique(often.orderBy(F.desc("count"), "key").limit(MOVED // 2).toPandas()["key"].to_numpy(np.int64).view(np.uint64))
 
@@ -215,8 +227,9 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, doc_id: s
     classes = keep(rows.filter("n > 0").groupBy(*signature).agg(F.min("doc_id").alias("class_id")), "classes")
     firsts = classes.select(F.col("class_id").alias("doc_id"), *signature).filter("doc_id IS NOT NULL")
     first_of = lambda points: points.join(firsts, ["doc_id", *signature], "left_semi")
-    own = first_of(rows)
-    anew = None
+    own = keep(first_of(rows), "class-points")
+    slim = keep(rows.select("doc_id", *signature), "signatures")
+    drop(rows)
 
     for turn in range(ROUNDS + 1):
         shared = keep(own.select(F.explode("keys").alias("key")).groupBy("key").count().filter("count > 1"), "shared")
@@ -230,15 +243,18 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, doc_id: s
         moved = np.unique(np.concatenate((moved, more.view(np.uint64))))
         back = spark.createDataFrame(pd.DataFrame({"key": more}), "key long")
         touched = own.select("doc_id", F.explode("keys").alias("key")).join(back, "key", "left_semi").select("doc_id").distinct()
-        if anew is not None:  # those taken anew before are so again
-            touched = touched.union(anew.select("doc_id")).distinct()
         touched = keep(touched, "touched")
-        anew = keep(first_of(points(docs.join(touched, "doc_id", "left_semi"), k, percent, moved)), "anew")
-        own = first_of(rows).join(touched, "doc_id", "left_anti").unionByName(anew)
-        drop(shared)
+        anew = first_of(points(docs.join(touched, "doc_id", "left_semi"), k, percent, moved))
+        after = keep(own.join(touched, "doc_id", "left_anti").unionByName(anew), "class-points")
+        for old in (own, shared, touched):
+            drop(old)
+        own = after
 
     # buckets with the same members count once
-    filled = keep(own.select("doc_id", F.explode("keys").alias("key")).join(shared.select("key"), "key").select("key", "doc_id").distinct(), "filled")
+    keys = shared.select("key")
+    if keys.count() <= SHARED:
+        keys = F.broadcast(keys)
+    filled = keep(own.select("doc_id", F.explode("keys").alias("key")).join(keys, "key").select("key", "doc_id").distinct(), "filled")
     alike = filled.groupBy("key").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.sum("doc_id").alias("total"), F.min("doc_id").alias("least"))
     buckets = keep(alike.groupBy("members", "x", "total").agg(F.min("key").alias("key"), F.min("least").alias("least")).filter("members > 1").select("key", "least"), "buckets")
     members = keep(filled.join(buckets, "key"), "members")
@@ -255,7 +271,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, doc_id: s
     parts = grown(links)
 
     found = classes.join(parts.withColumnRenamed("id", "class_id"), "class_id", "left").select(*signature, F.coalesce("component", "class_id").alias("component"))
-    out = rows.select("doc_id", *signature).join(found, signature, "left")
+    out = slim.join(found, signature, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
