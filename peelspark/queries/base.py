@@ -75,6 +75,8 @@ def with_views(sql: str) -> str:
     views = [f"{n} AS ({re.sub(r'[{}]', '', VIEWS[n])})" for n in order]
     if not views:
         return sql
+    if sql.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {', '.join(views)}, {sql[15:]}"
     return f"WITH {', '.join(views)}, {sql[5:]}" if sql.startswith("WITH ") else f"WITH {', '.join(views)} {sql}"
 
 

@@ -1 +1,64 @@
-"""x"""
+"""Operators that iterate; those without SQL are tested against brute force."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import components as C
+from ..operators import dag as D
+from ..operators import edges as E
+from ..operators import partition as P
+from ..operators import paths as W
+from ..operators import peel
+from ..plans import hierarchy as H
+from .base import FAR, register, rounded
+
+first = lambda e: e.agg(F.min("src").alias("id"))
+register("O-cc", "forest", lambda e: C.component_edges(e), "SELECT id, component FROM forest_parts")
+register("O-cc-dfs", "edges vertices", lambda e, v: C.partition_components(e, v.select("id", "value")), None)
+register("O-lcc", "layered", lambda e: C.component_edges(e, ("layer",)), "WITH RECURSIVE adj AS (SELECT layer, src AS a, dst AS b FROM layered UNION ALL SELECT layer, dst, src FROM layered), r(layer, id, component) USING KEY (layer, id) AS (SELECT DISTINCT layer, a, a FROM adj UNION SELECT adj.layer, adj.b, min(r.component) FROM r JOIN adj ON r.layer = adj.layer AND r.id = adj.a JOIN recurring.r c ON c.layer = adj.layer AND c.id = adj.b WHERE r.component < c.component GROUP BY adj.layer, adj.b) SELECT layer, id, component FROM r")
+register("O-wcc", "wedges", lambda w: C.component_edges(w.select("src", "dst", "wave"), ("wave",)), None)
+register("O-level-cc", "arcs", lambda a: C.component_edges(a.filter("ls = lt").select("src", "dst", F.col("ls").alias("level")), ("level",)), None)
+register("O-coreness", "edges", peel.coreness)
+register("O-fixedpoint", "edges", peel.fixed_point_layers)
+register("O-waves", "layered", lambda e: peel.waves(peel.fixed_point_layers(e)))
+register("O-iter-wave", "layered", peel.iterative_waves)
+register("O-iter-edge-generic", "layered", lambda e: peel.iterative_edges(e.select("src", "dst"), lambda left: peel.coreness(left).withColumnRenamed("core", "value")))
+register("O-bfs", "edges", lambda e: W.bfs(e, first(e)).select("id", "dist"), "WITH RECURSIVE adj AS (SELECT src AS a, dst AS b FROM edges UNION ALL SELECT dst, src FROM edges), r(id, dist) USING KEY (id) AS (SELECT min(src), CAST(0 AS BIGINT) FROM edges UNION SELECT adj.b, min(r.dist) + 1 FROM r JOIN adj ON r.id = adj.a LEFT JOIN recurring.r c ON c.id = adj.b WHERE c.id IS NULL GROUP BY adj.b) SELECT id, dist FROM r")
+register("O-sssp-paths", "edges", lambda e: W.shortest_paths(e, first(e), e.agg(F.max("src").alias("id"))))
+register("O-spanning-tree", "forest", lambda e: W.spanning_tree(e, e.select(F.col("src").alias("id")).distinct()), "SELECT src, dst FROM forest")
+register("O-dijkstra", "customer nation supplier", lambda c, n, s: W.dijkstra(n.select(F.lit(1).cast("long").alias("net"), F.col("n_nationkey").cast("long").alias("src"), (F.col("n_regionkey") + 100).cast("long").alias("dst"), (F.col("n_nationkey") + 1.0).alias("weight")), 0, 24))
+register("O-mst", "positions", lambda p: W.minimum_tree(p.select(F.lit(1).cast("long").alias("net"), F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), (F.abs("y") + 1).alias("weight")), p, 1))
+register("O-sparsenet", "forest nation", lambda f, n: W.sparse_net(n.select(F.col("n_nationkey").cast("long").alias("src"), (F.col("n_regionkey") + 100).cast("long").alias("dst")).unionByName(n.select((F.col("n_regionkey") + 100).cast("long").alias("src"), F.lit(999).cast("long").alias("dst")))))
+register("O-sparsenet-approx", "nation", lambda n: W.sparse_net_approximate(n.select(F.col("n_nationkey").cast("long").alias("src"), (F.col("n_regionkey") + 100).cast("long").alias("dst")).unionByName(n.select((F.col("n_regionkey") + 100).cast("long").alias("src"), F.lit(999).cast("long").alias("dst")))))
+
+# paths along lines of an order stand for a path cover
+lines = lambda l: l.groupBy(F.col("l_orderkey").alias("path_id")).agg(F.array_sort(F.collect_set(F.struct("l_linenumber", "l_partkey"))).alias("p")).select("path_id", F.transform("p", lambda x: x["l_partkey"]).alias("path"))
+PLACES = "(SELECT l_orderkey AS path_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS INTEGER) AS pos, l_partkey AS id FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem) d)"
+register("O-edge-paths", "lineitem", lambda l: E.path_edges(lines(l)), f"WITH p AS {PLACES} SELECT a.path_id, a.pos, a.id AS src, b.id AS dst FROM p a JOIN p b ON a.path_id = b.path_id AND b.pos = a.pos + 1")
+register("O-vertex-paths", "lineitem", lambda l: W.vertex_paths(lines(l)), f"SELECT path_id, pos, id FROM {PLACES} p")
+register("O-path-subgraph", "edges orders", lambda e, o: E.path_subgraph(e, o.filter("o_totalprice > 200000").select(F.col("o_custkey").alias("path_id"), F.array(F.col("o_orderkey"), F.col("o_custkey") + FAR).alias("path"))), f"WITH v AS (SELECT o_orderkey AS id FROM orders WHERE o_totalprice > 200000 UNION SELECT o_custkey + {FAR} FROM orders WHERE o_totalprice > 200000) SELECT src, dst FROM edges WHERE src IN (SELECT id FROM v) AND dst IN (SELECT id FROM v)")
+register("O-sparsenet-subgraph", "edges lineitem", lambda e, l: E.sparse_net_subgraph(e, l.filter("l_linenumber = 1").select(F.col("l_orderkey").alias("path_id"), F.array(F.col("l_orderkey"), F.col("l_partkey") + FAR).alias("path"))), f"SELECT DISTINCT l_orderkey AS src, {FAR} + l_partkey AS dst FROM lineitem WHERE l_linenumber = 1")
+register("O-path-assign", "edges lineitem", lambda e, l: W.assign_to_paths(e, l.select((F.col("l_linenumber")).cast("long").alias("path_id"), F.array(F.col("l_partkey") + FAR).alias("path"))), f"WITH onp AS (SELECT DISTINCT {FAR} + l_partkey AS id, CAST(l_linenumber AS BIGINT) AS path_id FROM lineitem), n AS (SELECT e.src AS id, o.path_id, count(*) AS n FROM edges e JOIN onp o ON e.dst = o.id GROUP BY 1, 2) SELECT id, path_id, n FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, path_id) AS r FROM n) x WHERE r = 1")
+register("O-landmark-cluster", "forest", lambda e: W.nearest_landmark(e, e.select(F.col("src").alias("id")).distinct()), "SELECT src AS id, CAST(0 AS BIGINT) AS dist, src AS landmark FROM (SELECT DISTINCT src FROM forest) f UNION ALL SELECT dst, 1, src FROM forest")
+register("O-landmark-midpoints", "edges lineitem", lambda e, l: W.path_midpoints(e, l.groupBy(F.col("l_returnflag").alias("path_id")).agg(F.array_sort(F.collect_set(F.col("l_partkey") + FAR)).alias("path"))), f"WITH p AS (SELECT path_id, id, row_number() OVER (PARTITION BY path_id ORDER BY id) - 1 AS pos FROM (SELECT DISTINCT l_returnflag AS path_id, {FAR} + l_partkey AS id FROM lineitem) d) SELECT e.src AS id, p.path_id, CAST(floor((min(pos) + max(pos)) / 2) AS BIGINT) AS pos FROM edges e JOIN p ON e.dst = p.id GROUP BY e.src, p.path_id")
+register("O-solar", "forest", W.solar_merge)
+register("O-leaf", "layered", W.next_leaf)
+register("O-bcc", "edges", W.blocks)
+register("O-bcc-points", "forest", lambda e: W.articulation_points(W.blocks(e)), "SELECT src AS id FROM forest GROUP BY src HAVING count(*) > 1")
+register("O-bccpart", "forest", lambda e: P.articulation_metagraph(W.blocks(e))[1], f"WITH p AS (SELECT src FROM forest GROUP BY src HAVING count(*) > 1) SELECT 'b_' || f.src || '-' || f.dst AS src, 'v_' || f.src AS dst FROM forest f JOIN p ON f.src = p.src")
+register("O-vccpart", "edges vertices", lambda e, v: P.value_component_metagraph(e, v.select("id", "value"))[0])
+register("O-topo-levels", "steps", D.topological_levels)
+register("O-dag-longest", "steps", D.longest_paths)
+register("O-dag-longest-path", "steps", D.longest_path)
+register("O-natural-weight", "steps", lambda s: rounded(D.natural_weights(s)))
+register("O-search-expand", "forest", lambda e: rounded(D.search_expand(e, e.filter("src <= 20").select(F.col("src").alias("id")).distinct(), 1)), "WITH f AS (SELECT src, count(*) AS n FROM forest WHERE src <= 20 GROUP BY src) SELECT src AS id, CAST(0 AS BIGINT) AS step, CAST(1 AS DOUBLE) AS w, CAST(0 AS BIGINT) AS cut FROM f UNION ALL SELECT o.dst, 1, round(1.0 / f.n, 6), 0 FROM forest o JOIN f ON o.src = f.src")
+register("O-dag-meta", "arcs levels", lambda a, l: D.meta_dag(a, l.select("id", "level"))[0])
+register("O-dag-meta-links", "arcs levels", lambda a, l: D.meta_dag(a, l.select("id", "level"))[1])
+register("O-dag-connect-jump", "steps step_levels", lambda s, l: D.connect_by_jumps(s.join(l.toDF("src", "ls"), "src").join(l.toDF("dst", "lt"), "dst")))
+register("O-dagcover", "arcs", lambda a: D.dag_cover(a.select("src", "dst", "ls", "lt")))
+register("O-dag-back", "steps step_levels", lambda s, l: W.expand_long_path(D.longest_path(s), s.select("src", "dst", F.col("src").alias("n_src"), F.col("dst").alias("n_dst")), s.select(F.col("src").alias("node"), F.col("src"), F.col("src").alias("dst"))))
+register("O-rings-metagraph", "forest forest_parts", lambda e, p: P.ring_metagraph(e, P.rings(e, p, e.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))))[0])
+register("O-hierarchy-lccs", "layered", lambda e: H.decompose(e).lccs)
+register("O-hierarchy-waves", "layered", lambda e: H.decompose(e).waves)
+register("O-q-city-vicinity", "layered lccs", lambda e, c: H.decompose(H.vicinity(e.withColumn("lcc", F.col("dst") - FAR), c, 2, 1)).lccs)
