@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_dedup, langid, line_dedup, ngram_join, packing, pii, token_count, toxicity
+from . import decontamination, embedding_dedup, langid, line_dedup, ngram_join, packing, pii, token_count, tool_calls, toxicity
 from ..store import table
 
 
@@ -54,6 +54,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.link(table(spark, sf_dir, "conversations"))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pii": op6_pii,
     "op7_decontamination": op7_decontamination,
     "op8_token_counts": op8_token_counts,
+    "op9_tool_calls": op9_tool_calls,
     "op10_ngram_join": op10_ngram_join,
 }
 
