@@ -112,7 +112,7 @@ class Keyed:
 def _shaped(s: str, draw: Keyed) -> str:
     """Digits for digits and letters for letters; what is hexadecimal stays so."""
     digits, small = "0123456789", "abcdefghijklmnopqrstuvwxyz"
-    if re.fullmatch(r"[0-9a-f]{16,}", s):
+    if re.fullmatch(r"[0-9a-f]{16,}", s) and not s.isdigit():
         return "".join("0123456789abcdef"[draw.below(16)] for _ in s)
     return "".join(digits[draw.below(10)] if c.isdigit() else small[draw.below(26)] if c in small else small[draw.below(26)].upper() if c.isascii() and c.isalpha() else c for c in s)
 

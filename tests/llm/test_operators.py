@@ -1,0 +1,364 @@
+"""Operators against brute force, and their defined results for odd rows."""
+
+import collections
+import hashlib
+import json
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from peelspark.llm import decontamination, embedding_dedup, langid, line_dedup, ngram_join, packing, pii, token_count, tool_calls, toxicity
+
+P = pytest.importorskip("public_tokenizers")
+WORDS = "the of and river stone light under open small house garden winter paper letter window morning silver road music table".split()
+
+
+def prose(r, n):
+    return " ".join(r.choice(WORDS) + r.choice(["", "", "s", "ing"]) for _ in range(n))
+
+
+def corpus(seed=1, n=60):
+    r = random.Random(seed)
+    texts = [prose(r, r.randint(3, 120)) for _ in range(n)]
+    for i in range(0, 12, 2):  # near copies
+        w = texts[i].split()
+        w[r.randrange(len(w))] = "changed"
+        texts[i + 1] = " ".join(w)
+    texts[20] = texts[21] = texts[22]
+    for i in range(30, 36):
+        texts[i] += "\n  This line is HELD by several documents \nown line " + str(i)
+    return list(enumerate(texts)) + [(100, None), (101, ""), (102, "   "), (103, "one"), (104, "x" * 5000), (105, "\n\n"), (106, "two words"), (106, "two words")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", "s", len(t or ""), 7, "z") for i, t in corpus()]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_lines int, score string").repartition(3)
+
+
+def empty(df):
+    return df.limit(0)
+
+
+def test_line_dedup(docs):
+    got = collections.Counter((r.row.doc_id, r.kept, len(r.dropped), r.row.n_lines) for r in line_dedup.dedup_lines(docs).collect())
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    key = lambda x: x.strip(" \t\n\x0b\f\r").translate(low)
+    held = collections.defaultdict(list)
+    for i, t in corpus():
+        for k in {key(x) for x in (t or "").split("\n")}:
+            held[k].append(i)
+    want = collections.Counter()
+    for i, t in corpus():
+        lines = (t or "").split("\n")
+        stay = [x for x in lines if not (len(key(x)) >= 20 and len(held[key(x)]) >= 3 and max(held[key(x)]) != i)]
+        want[(i, "\n".join(stay), len(lines) - len(stay), 7)] += 1
+    assert got == want and any(n for _, _, n, _ in got)
+    assert line_dedup.dedup_lines(empty(docs)).count() == 0
+
+
+def test_line_dedup_null_id(spark):
+    line = "a line of more than twenty letters"
+    df = spark.createDataFrame([(None, line), (1, line), (2, line)], "doc_id long, text string")
+    assert {r.row.doc_id: r.kept for r in line_dedup.dedup_lines(df).collect()} == {None: "", 1: "", 2: line}
+
+
+def test_runs_keep_levels(spark):
+    index = line_dedup.LineRuns(spark)
+    for b in range(5):
+        index.add(spark.createDataFrame([(k, k, b) for k in range(b, b + 3)], "h1 long, h2 long, doc long"))
+    assert [len(x) for x in index.levels] == [1, 0, 1]
+    assert {r.h1: (r.docs, r.last) for r in index.total().collect()}[2] == (3, 2)
+
+
+def similar(rows, k, percent):
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low))
+        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b]:
+                both = len(sets[a] & sets[b])
+                if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                    x, y = find(a), find(b)
+                    root[max(x, y)] = min(x, y)
+    return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize("large", [512, 1])
+def test_ngram_join(docs, monkeypatch, large):
+    monkeypatch.setattr(ngram_join, "LARGE", large)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs, 4, 85).collect()}
+    assert got == similar(corpus(), 4, 85)
+    if large == 512:
+        assert ngram_join.jaccard_components(empty(docs)).count() == 0
+
+
+def test_ngram_join_loosely(docs, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SMALL", 2)  # trees everywhere
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs, 2, 40).collect()}
+    assert got == similar(corpus(), 2, 40)
+
+
+def test_count_tree_loses_nothing():
+    r = np.random.default_rng(3)
+    counts = r.poisson(1.0, (300, ngram_join.GROUPS)).astype(ngram_join.COUNT)
+    counts[150:] = counts[:150]
+    sizes = counts.sum(1).astype(np.int64)
+    tree = ngram_join.CountTree(counts, sizes)
+    for i in range(0, 300, 7):
+        shared = np.minimum(counts, counts[i]).sum(1)
+        want = np.flatnonzero((shared >= ngram_join.need(sizes, sizes[i], 85)) & (100 * np.minimum(sizes, sizes[i]) >= 85 * np.maximum(sizes, sizes[i])))
+        assert set(want) <= set(tree.search(counts[i], int(sizes[i]), 85))
+
+
+def test_embeddings(spark):
+    r = np.random.default_rng(5)
+    base = r.standard_normal((400, 64))
+    rows = [[float(x) for x in v] for v in base]
+    for i in range(40):
+        rows.append([float(x) for x in base[i] + 0.25 * r.standard_normal(64)])
+    rows += [rows[3], rows[3], [0.0] * 64, None, [1.0, None], [float("nan")] * 64, [1.0, 2.0]]
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+    got = {x.vec_id: x for x in embedding_dedup.near_duplicates(df).collect()}
+    ok = [i for i in range(len(rows)) if rows[i] and len(rows[i]) == 64 and np.isfinite(rows[i]).all() and any(rows[i])]
+    v = np.array([rows[i] for i in ok])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    near = v @ v.T >= 0.9
+    links = {i: int(near[k].sum()) - 1 for k, i in enumerate(ok)}
+    found = sum(got[i].n_links for i in ok)
+    assert found <= sum(links.values()) and found >= 0.9 * sum(links.values()) and sum(links.values()) > 40
+    assert all(got[i].n_links == 0 and got[i].kept for i in got if i not in ok)
+    assert got[3].n_links >= 2 and got[440].component_id == 3
+    assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_embedding_chunks_lose_nothing(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    base = r.standard_normal(16)
+    rows = [(i, [float(x) for x in base + 0.01 * r.standard_normal(16)]) for i in range(40)]
+    monkeypatch.setattr(embedding_dedup, "CHUNK", 7)
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {x.n_links for x in got} == {39} and {x.component_id for x in got} == {0}
+
+
+def tokens(text):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(P.path("byte_bpe_50k.json")).encode(text or "", add_special_tokens=False).ids + [0]
+
+
+def test_packing(docs, spark):
+    at = P.path
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(200, "word " * 3000), (201, "a<|endoftext|>b")], "doc_id long, text string"))
+    got = packing.pack(more, at("byte_bpe_50k.tiktoken"), at("byte_bpe_50k.json"), P.PATTERN).toPandas()
+    for i, t in [*corpus()[:70], (200, "word " * 3000), (201, "a<|endoftext|>b")]:
+        ids, own = tokens(t), got[got.doc_id == i].drop_duplicates("start").sort_values("start")
+        assert (own.doc_tokens == len(ids)).all() and own.length.sum() == len(ids)
+        for p in own.itertuples():
+            assert p.ids_crc32 == zlib.crc32(np.array(ids[p.start : p.start + p.length], "<u4").tobytes())
+    by = got.sort_values(["sequence_id", "offset"])
+    assert (by.offset == by.groupby("sequence_id").length.cumsum() - by.length).all() and by.groupby("sequence_id").length.sum().max() <= 1024
+    assert packing.pack(empty(docs), at("byte_bpe_50k.tiktoken"), at("byte_bpe_50k.json"), P.PATTERN).count() == 0
+
+
+def test_sum_of_squares_rule():
+    r, window = random.Random(4), 12
+    levels = packing.Levels(window)
+    filled = []
+    for _ in range(300):
+        size = r.randint(1, 11)
+        n = collections.Counter(f for f in filled if f < window)
+        cost = lambda h: sum(x * x for x in (n - collections.Counter([h] * bool(h)) + collections.Counter([h + size] * (h + size < window))).values())  # noqa: B023, E731
+        options = [0, *(h for h in n if h + size <= window)]
+        s, h = levels.place(size)
+        assert cost(h) == min(map(cost, options))
+        if h:
+            assert filled[s] == h
+            filled[s] += size
+        else:
+            filled.append(size)
+
+
+def test_token_counts(docs):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    got = collections.Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in token_count.token_counts(docs, P.path("piece_bpe_32k.model")).collect())
+    assert got == collections.Counter((i, len((t or "").encode()), len(n := model.encode(t or "")), len(n) > 4096) for i, t in corpus())
+
+
+@pytest.mark.parametrize("text", ["", " ", "  a", "a  b ", "\n", "\n\n x", "▁a ▁▁b", "a<s>b</s>", "日本語 テスト😀", "a\tb", "x" * 3000, "it's 12 3,5", "a \n b", "end.\nNext", "½ ²x", "a\r\nb", " \n "])
+def test_token_counts_of_odd_texts(text):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    assert token_count.counter(P.path("piece_bpe_32k.model"))(text) == len(model.encode(text))
+
+
+def test_languages(spark):
+    r = random.Random(2)
+    parts = {"en": "th er ing and of wh", "de": "sch ung ei ich der ü", "fr": "eau oi é que le ai"}
+    make = lambda x: " ".join("".join(r.choice(parts[x].split()) for _ in range(r.randint(1, 3))) for _ in range(30))
+    rows = [(i, make(x), x) for i, x in enumerate(["en", "de", "fr"] * 60)] + [(900, None, "en"), (901, "123 !", "de"), (902, make("fr"), None), (None, make("en"), "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x.doc_id: x for x in langid.identify(df, langid.train(df)).collect()}
+    held = [i for i, _, _ in rows[:180] if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert held and all(got[i].held_out and got[i].lang_pred == rows[i][2] for i in held)
+    assert (got[900].lang_pred, got[901].lang_pred, got[902].lang_pred) == ("und", "und", "fr")
+    assert all(0 <= x.score <= 1 for x in got.values())
+    assert {x.lang_pred for x in langid.identify(df, langid.train(df.limit(0))).collect()} == {"und"}
+
+
+def test_toxicity(spark):
+    r = random.Random(3)
+    rows, labels = [], []
+    for i in range(400):
+        bad = i % 4 == 0
+        w = prose(r, 40).split()
+        if bad:
+            for _ in range(2):
+                w.insert(r.randrange(len(w)), r.choice(["vileword", "rotten"]))
+        rows.append((i, " ".join(w), "kept"))
+        labels.append((i, 1, int(bad)))
+    rows += [(900, None, "kept"), (901, "", "kept")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    lab = spark.createDataFrame([*labels, (5, None, None)], "doc_id long, quality int, toxic int")
+    out = toxicity.score(df, toxicity.train(df, lab)).collect()
+    got = {x.row.doc_id: x for x in out}
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert sum(got[i].predicted == int(i % 4 == 0) for i in held) >= 0.97 * len(held)
+    assert got[900].predicted == got[901].predicted == 0 and got[0].row.score == "kept"
+    assert {x.predicted for x in toxicity.score(df, toxicity.train(df, lab.limit(0))).collect()} == {0}
+
+
+def test_surrogates(spark):
+    card = "4111 1111 1111 1111"
+    texts = [
+        f"Mail Ana.Lee@Site7.example.com or ana.lee@site7.example.com, card {card} and 4111111111111111.",
+        "Call +1 (743) 555-3824 from 152.143.123.131, token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\"",
+        "Dear Mrs. Jane Doe and Mr. Jane Doe, 555-12-3456, Господин Иван Петров; DE89 3704 0044 0532 0130 00",
+        "version 4.0, 1234567812345678 isn't a card, 999.1.1.1 no address, 98079157628 no phone",
+        None,
+        "",
+    ]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, kinds string")
+    got = {r.row.doc_id: r for r in pii.replace(df, b"key").collect()}
+    assert [got[i].n_entities for i in range(6)] == [4, 3, 5, 0, 0, 0] and got[4].text_out is None and got[3].text_out == texts[3]
+    one, two = re.findall(r"\S+@\S+\.com", got[0].text_out)
+    assert one.lower() == two and one[0].isupper()
+    a, b = re.findall(r"\d{4}(?: ?\d{4}){3}", got[0].text_out)
+    assert a.replace(" ", "") == b and pii.luhn(b) == 0 and b != "4111111111111111"
+    names = [m[2] for m in pii.NAME.finditer(got[2].text_out)]
+    assert names[0].split()[0].endswith("na") and not names[1].split()[0].endswith("a") and re.match("[А-Я]", names[2])
+    for t, r in zip(texts[:3], (got[i] for i in range(3))):
+        assert [k for *_, k, _ in pii.find(t)] == [k for *_, k, _ in pii.find(r.text_out)] and not any(t[s:e] in r.text_out for s, e, *_ in pii.find(t))
+    assert pii.replace(df.limit(0), b"key").count() == 0
+
+
+def test_surrogates_stay_distinct(spark, monkeypatch):
+    real = pii.surrogate
+    monkeypatch.setattr(pii, "surrogate", lambda key, kind, normal, attempt=0: "10.0.0.1" if attempt == 0 else real(key, kind, normal, attempt))
+    found = spark.createDataFrame([("ip", f"10.0.0.{i}") for i in range(1, 6)], "kind string, normal string")
+    tries = {(r.kind, r.normal): r.attempt for r in pii.second_tries(found, b"k").collect()}
+    assert len(tries) == 5  # one equals a real address, so all move
+
+
+def test_decontamination(spark):
+    r = random.Random(8)
+    vocabulary = ["".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(3)) for _ in range(600)]
+    text = lambda n: " ".join(r.choice(vocabulary + WORDS * 20) for _ in range(n))
+    items = [(i, text(r.randint(14, 70))) for i in range(20)] + [(50, None), (51, ""), (52, "zuzu wewe rara")]
+    rows = [(i, text(r.randint(20, 300))) for i in range(80)]
+    for i in range(0, 20):
+        w = items[i][1].split()
+        if i % 3 == 1:  # a paraphrase: some words changed
+            for j in r.sample(range(len(w)), len(w) // 8):
+                w[j] = r.choice(WORDS)
+        rows[i] = (i, rows[i][1] + ". " + " ".join(w).upper() + ", " + text(30))
+    rows += [(200, None), (201, ""), (202, "so zuzu wewe rara it is"), (203, "zuzu so wewe rara"), (0, rows[0][1])]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {x.doc_id: list(x.item_ids) for x in decontamination.contaminated(docs, bench).collect()}
+    assert got == {i: [i] for i in range(20)} | {202: [52]}
+    assert decontamination.contaminated(docs, bench.limit(0)).count() == 0
+    assert decontamination.contaminated(docs.limit(0), bench).count() == 0
+
+
+def test_common_subsequence():
+    def plain(a, b):
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        return t[-1][-1]
+
+    r = random.Random(1)
+    for _ in range(200):
+        a, b = ([r.randrange(6) for _ in range(r.randint(1, 40))] for _ in range(2))
+        assert decontamination.common_subsequence(a, b) == plain(a, b)
+
+
+def test_tool_calls(spark):
+    schema = {"type": "object", "properties": {"city": {"type": "string"}, "days": {"type": "integer", "minimum": 1}}, "required": ["city"], "additionalProperties": False}
+    call = lambda i, args: {"id": i, "function": {"name": "weather", "arguments": json.dumps(args)}}
+    turns = [
+        (1, 0, "system", json.dumps({"tools": [{"function": {"name": "weather", "parameters": schema}}]})),
+        (1, 1, "tool", json.dumps({"tool_call_id": "a", "content": {"t": 5}})),  # before its call
+        (1, 2, "assistant", json.dumps({"tool_calls": [call("a", {"city": "Rome"}), call("b", {"days": 0})]})),
+        (1, 3, "user", "thanks {"),
+        (1, 4, "tool", json.dumps({"tool_call_id": "zz", "content": None})),
+        (2, 0, "user", None),
+        (2, 1, "assistant", json.dumps({"tool_calls": [call("a", {}), call("a", {})]})),
+        (None, None, None, ""),
+    ]
+    df = spark.createDataFrame([(*t, "x") for t in turns], "conv_id long, turn long, role string, text string, status string")
+    rows = tool_calls.link(df).collect()
+    one = sorted((r for r in rows if r.conv_id == 1), key=lambda r: (r.anchor, r.step, r.turn, r.idx))
+    assert [(r.kind, r.status) for r in one] == [("message", "plain"), ("message", "plain"), ("call", "answered"), ("call", "unanswered"), ("result", "linked"), ("message", "plain"), ("result", "orphan")]
+    assert one[2].problems == [] and one[3].problems == ["$.city: missing", "$.days: below minimum"]
+    assert json.loads(one[2].json) == {"arguments": {"city": "Rome"}, "id": "a", "name": "weather"} and one[2].json == tool_calls.canonical(json.loads(one[2].json))
+    assert sorted(r.status for r in rows if r.conv_id == 2 and r.kind == "call") == ["repeated", "unanswered"]
+    assert tool_calls.link(df.limit(0)).count() == 0
+
+
+def test_pipeline_stages(spark, docs, tmp_path):
+    bench = spark.createDataFrame([(1, corpus()[40][1])], "item_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i == 50)) for i in range(60)], "doc_id long, quality int, toxic int")
+    for name, df in (("documents", docs), ("benchmark", bench), ("labels", labels)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, now, str(tmp_path))
+        assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        kept[name] = {r.doc_id for r in now.select("doc_id").collect()}
+    assert kept["line_dedup"] == kept["toxicity"]
+    lines = spark.read.parquet(f"{tmp_path}/line_dedup")
+    texts = [(r.doc_id, r.text) for r in lines.collect()]
+    want = {i for i, (_, c) in similar(texts, 5, 80).items() if i == c}
+    assert kept["ngram_join"] == want
+    assert kept["ngram_join"] - kept["decontamination"] == {40} & kept["ngram_join"]
+    assert lines.filter("n_chars <> char_length(text) AND text LIKE '%own line%'").count() == 0
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == kept["decontamination"]
+
+
+def test_hash_is_the_contracts(docs):
+    out = line_dedup.dedup_lines(docs).select("row.doc_id", "kept", F.sha2("kept", 256).alias("h")).collect()
+    assert all(r.h == hashlib.sha256(r.kept.encode()).hexdigest() for r in out)
