@@ -69,7 +69,7 @@ register("O-filter-small-large", "nodes", lambda n: B.split_by_size(n, 30, 60).s
 register("O-mall-state", "nodes lccs", lambda n, c: n.join(c.select((F.col("lcc") * 10 + F.col("layer")).alias("node"), F.lit("done").alias("s")).filter("node % 2 = 0"), "node", "left").select("node", F.coalesce("s", F.lit("open")).alias("state")), "SELECT node, CASE WHEN node % 2 = 0 AND node IN (SELECT lcc * 10 + layer FROM lccs) THEN 'done' ELSE 'open' END AS state FROM nodes")
 
 # rankings
-register("O-best-label", "labels_v members", lambda l, m: R.log_top(l.join(m.select((F.col("vertex") + FAR).alias("id"), "lcc").distinct(), "id"), ["lcc"], ["label"]).select("lcc", "id", "label"), f"WITH j AS (SELECT DISTINCT m.lcc, l.id, l.label FROM labels_v l JOIN members m ON l.id = m.vertex + {FAR}), r AS (SELECT *, row_number() OVER (PARTITION BY lcc ORDER BY label) AS r, count(*) OVER (PARTITION BY lcc) AS n FROM j) SELECT lcc, id, label FROM r WHERE r <= ceil(log2(n + 1))")
+register("O-best-label", "labels_v members", lambda l, m: R.log_top(l.join(m.select((F.col("vertex") + FAR).alias("id"), "lcc").distinct(), "id"), ["lcc"], ["label", "id"]).select("lcc", "id", "label"), f"WITH j AS (SELECT DISTINCT m.lcc, l.id, l.label FROM labels_v l JOIN members m ON l.id = m.vertex + {FAR}), r AS (SELECT *, row_number() OVER (PARTITION BY lcc ORDER BY label, id) AS r, count(*) OVER (PARTITION BY lcc) AS n FROM j) SELECT lcc, id, label FROM r WHERE r <= ceil(log2(n + 1))")
 register("O-high-weight", "vertices", lambda v: D.best_by_weight(v.select("id", F.col("price").alias("w"))).select("id", "w"), "SELECT id, price AS w FROM (SELECT *, row_number() OVER (ORDER BY price DESC, id) AS r, count(*) OVER () AS n FROM vertices) x WHERE r <= ceil(log2(n + 1))")
 register("O-median-rep", "lccs", lambda c: R.median_row(c.select("bucket", "layer", "lcc", "e", "v"), ["bucket", "layer"], ["e", "v", "lcc"]), "SELECT bucket, layer, lcc, e, v FROM (SELECT *, row_number() OVER (PARTITION BY bucket, layer ORDER BY e, v, lcc) AS r, count(*) OVER (PARTITION BY bucket, layer) AS n FROM lccs) x WHERE r = CAST(floor(n / 2) AS BIGINT) + 1")
 register("O-bucket-order", "lccs", lambda c: B.bucket_order(c).select("bucket", "layer", "lcc", "place"), "SELECT bucket, layer, lcc, CAST(row_number() OVER (PARTITION BY bucket, layer ORDER BY e DESC, v DESC, lcc) AS INTEGER) AS place FROM lccs")

@@ -12,8 +12,8 @@ from ..sources import edges as src
 from ..sources import sinks
 from .base import FAR, register
 
-part_id = F.concat_ws("_", "layer", "lcc")
-summary = lambda c: c.select(part_id.alias("id"), "v", "e")
+part_id = lambda: F.concat_ws("_", "layer", "lcc")
+summary = lambda c: c.select(part_id().alias("id"), "v", "e")
 register("O-q-subgraph-id", "lccs", lambda c: H.find_subgraphs(summary(c), min_v=20, max_e=600, min_e=5), "SELECT layer || '_' || lcc AS id FROM lccs WHERE v >= 20 AND e BETWEEN 5 AND 600")
 register("O-q-subgraph-id-first", "lccs", lambda c: H.find_subgraphs(summary(c), first=True, min_v=10), "SELECT min(layer || '_' || lcc) AS id FROM lccs WHERE v >= 10")
 register("O-q-summary", "lccs", lambda c: sinks.size_histograms(c.select(F.col("lcc").alias("part"), "v", "e")), "SELECT v, e, count(*) AS n, min(lcc) AS \"first\", max(lcc) AS \"last\" FROM lccs GROUP BY v, e")
@@ -26,7 +26,7 @@ register("O-q-metadag-node", "edges vertices labels_v", lambda e, v, l: J.with_l
 LABELED = f"j AS (SELECT DISTINCT m.layer, m.lcc, l.id, l.label FROM labels_v l JOIN members m ON l.id = m.vertex + {FAR})"
 labeled = lambda m, l: m.select("layer", "lcc", (F.col("vertex") + FAR).alias("id")).distinct().join(l, "id")
 register("O-q-label", "members labels_v", lambda m, l: labeled(m, l).filter("layer = 2 AND lcc = 4").select("id", "label"), f"WITH {LABELED} SELECT id, label FROM j WHERE layer = 2 AND lcc = 4")
-register("O-q-label-bucketed", "members labels_v", lambda m, l: R.log_top(labeled(m, l), ["layer", "lcc"], ["label"]).select("layer", "lcc", "id", "label"), f"WITH {LABELED}, r AS (SELECT *, row_number() OVER (PARTITION BY layer, lcc ORDER BY label) AS r, count(*) OVER (PARTITION BY layer, lcc) AS n FROM j) SELECT layer, lcc, id, label FROM r WHERE r <= ceil(log2(1 + n))")
+register("O-q-label-bucketed", "members labels_v", lambda m, l: R.log_top(labeled(m, l), ["layer", "lcc"], ["label", "id"]).select("layer", "lcc", "id", "label"), f"WITH {LABELED}, r AS (SELECT *, row_number() OVER (PARTITION BY layer, lcc ORDER BY label, id) AS r, count(*) OVER (PARTITION BY layer, lcc) AS n FROM j) SELECT layer, lcc, id, label FROM r WHERE r <= ceil(log2(1 + n))")
 register("O-q-building2strata", "edges vertices", lambda e, v: J.semi(e, v.filter("value = 5").select(F.col("id").alias("src")), ["src"]).select(F.col("src").alias("source"), F.col("dst").alias("target")), "SELECT src AS source, dst AS target FROM edges WHERE src IN (SELECT id FROM vertices WHERE value = 5)")
 register("O-snk-edgelist", "priced", lambda p: p.filter("quantity > 40").select(F.concat_ws(" ", "src", "dst").alias("value")), "SELECT src || ' ' || dst AS value FROM priced WHERE quantity > 40")
 register("O-snk-subgraphs", "lccs", lambda c: sinks.size_histograms(c.select(F.col("lcc").alias("part"), "v", "e")), "SELECT v, e, count(*) AS n, min(lcc) AS \"first\", max(lcc) AS \"last\" FROM lccs GROUP BY v, e")
