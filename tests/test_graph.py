@@ -130,7 +130,7 @@ def test_peeling_variants(spark):
 
 def test_rankings(spark):
     df = spark.range(100).withColumn("v", F.lit(3))
-    assert [r.index for r in ranking.row_numbers(df, [F.desc("id")]).orderBy(F.desc("id")).collect()] == list(range(100))
+    assert [r["index"] for r in ranking.row_numbers(df, [F.desc("id")]).orderBy(F.desc("id")).collect()] == list(range(100))
     assert ranking.running_sum(df, "v", [F.col("id")], "s").filter("s <> 3 * (id + 1)").count() == 0
     packed = ranking.pack_buckets(spark.createDataFrame([(1, 5), (2, 6), (3, 20), (4, 1), (5, 9)], "id long, n long"), [], "n", "id", 10)
     assert [r.bucket for r in packed.orderBy("id").collect()] == [0, 1, 2, 3, 3]
