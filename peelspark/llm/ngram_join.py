@@ -6,8 +6,8 @@ documents share at most the sum over the groups of the smaller counts, so a
 pair can only be similar if that sum reaches the overlap that the threshold
 asks for.  Points are searched in packed R-trees whose nodes hold the largest
 counts and the range of sizes below them: a subtree is left out if even its
-largest counts cannot reach the overlap.  Surviving pairs are verified on the
-whole sets.
+largest counts cannot reach the overlap.  Surviving pairs are bounded once more over
+counts of about two tokens a group and then verified on the whole sets.
 
 One tree over a corpus would end as a scan, since points of unrelated
 documents of one size lie close together.  Trees are therefore built inside
@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..store import drop, keep
+from ..store import BROADCAST, drop, keep
 from .hashing import mix, text_shingles
 
 GROUPS = 128
@@ -170,6 +170,48 @@ def tree_pairs(members: DataFrame, percent: int, best: bool) -> DataFrame:
     return dealt.mapInPandas(search, "a long, b long").distinct()
 
 
+def fine_counts(docs: DataFrame, k: int) -> DataFrame:
+    """``doc_id, n, fine``: counts over about as many groups as half the tokens, a byte each."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for doc, t in zip(b["doc_id"], b["text"], strict=True):
+                s = text_shingles(t, k)
+                groups = max(GROUPS, 1 << (len(s) // 2).bit_length())
+                rows.append((doc, len(s), np.minimum(np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups), 255).astype(np.uint8).tobytes()))
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "fine"])
+
+    return docs.mapInPandas(count, "doc_id long, n long, fine binary")
+
+
+def shared_at_most(x: bytes, y: bytes) -> int:
+    """Upper bound of the tokens two documents share, from their fine counts, the longer folded to the shorter."""
+    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if max(x.max(), y.max()) == 255:  # a byte did not hold the count
+        return 1 << 62
+    size = min(len(x), len(y))
+    x, y = (c.reshape(-1, size).sum(0, dtype=np.int64) for c in (x, y))
+    return int(np.minimum(x, y).sum())
+
+
+def finer(pairs: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the bound over fine counts leaves."""
+
+    def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ok = [shared_at_most(x, y) >= need(m, n, percent) for x, y, m, n in zip(b["fine_a"], b["fine_b"], b["n_a"], b["n_b"], strict=True)]
+            yield b.loc[ok, ["a", "b"]]
+
+    pairs = keep(pairs, "pairs")
+    few = F.broadcast(pairs) if pairs.count() * 32 <= BROADCAST else pairs
+    one = fine.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("fine").alias("fine_b")).join(few, "b")
+    ids = pairs.select(F.col("a").alias("doc_id")).distinct()
+    ids = F.broadcast(ids) if pairs.count() * 32 <= BROADCAST else ids
+    two = fine.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("fine").alias("fine_a"))
+    return keep(one.join(two, "a").select("a", "b", "n_a", "n_b", "fine_a", "fine_b").mapInPandas(bound, "a long, b long").distinct(), "likely-pairs")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs whose whole sets reach the similarity."""
 
@@ -260,14 +302,17 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, doc_id: s
     members = keep(filled.join(buckets, "key"), "members")
     drop(filled)
 
-    light = keep(own.join(members.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n", "counts"), "light")
+    held = members.select("doc_id").distinct()
+    light = keep(own.join(held, "doc_id", "left_semi").select("doc_id", "n", "counts"), "light")
+    drop(own)
+    fine = keep(fine_counts(docs.join(held, "doc_id", "left_semi"), k), "fine")
     stars = members.filter("least <> doc_id").groupBy("doc_id").agg(F.min("least").alias("a")).select("a", F.col("doc_id").alias("b"))
     of_a, of_b = (light.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("counts").alias(f"c_{x}")) for x in "ab")
-    links = verified(keep(_bounded(stars.join(of_b, "b").join(of_a, "a"), percent), "stars"), docs, k, percent)
+    links = verified(finer(_bounded(stars.join(of_b, "b").join(of_a, "a"), percent), fine, percent), docs, k, percent)
     # the likeliest partners first, so that groups of near copies are closed before all pairs that are left
     for best in (True, False):
         left = still_open(members, grown(links), light)
-        links = links.unionByName(verified(keep(tree_pairs(left, percent, best), "tree-pairs"), docs, k, percent))
+        links = links.unionByName(verified(finer(tree_pairs(left, percent, best), fine, percent), docs, k, percent))
     parts = grown(links)
 
     found = classes.join(parts.withColumnRenamed("id", "class_id"), "class_id", "left").select(*signature, F.coalesce("component", "class_id").alias("component"))
