@@ -13,12 +13,26 @@ from ..operators import peel
 from ..plans import hierarchy as H
 from .base import FAR, register, rounded
 
+
+
+def components_sql(keys: str, source: str) -> str:
+    """Least reachable vertex inside equal keys, of ``source(keys, src, dst)``."""
+    k = [x.strip() for x in keys.split(",")]
+    on = lambda a, b: " AND ".join(f"{a}.{x} = {b}.{x}" for x in k)
+    adj = ", ".join(f"adj.{x}" for x in k)
+    return (
+        f"WITH RECURSIVE s AS ({source}), adj AS (SELECT {keys}, src AS a, dst AS b FROM s UNION ALL SELECT {keys}, dst, src FROM s), "
+        f"r({keys}, id, component) USING KEY ({keys}, id) AS (SELECT DISTINCT {keys}, a, a FROM adj UNION SELECT {adj}, adj.b, min(r.component) FROM r JOIN adj ON {on('r', 'adj')} AND r.id = adj.a "
+        f"JOIN recurring.r c ON {on('c', 'adj')} AND c.id = adj.b WHERE r.component < c.component GROUP BY {adj}, adj.b)"
+    )
+
+
 first = lambda e: e.agg(F.min("src").alias("id"))
 register("O-cc", "forest", lambda e: C.component_edges(e), "SELECT id, component FROM forest_parts")
-register("O-cc-dfs", "edges vertices", lambda e, v: C.partition_components(e, v.select("id", "value")), None)
+register("O-cc-dfs", "edges vertices", lambda e, v: C.partition_components(e, v.select("id", "value")), components_sql("value", "SELECT a.value, e.src, e.dst FROM edges e JOIN vertices a ON e.src = a.id JOIN vertices b ON e.dst = b.id WHERE a.value = b.value") + " SELECT v.id, v.value, coalesce(r.component, v.id) AS component FROM vertices v LEFT JOIN r ON v.id = r.id")
 register("O-lcc", "layered", lambda e: C.component_edges(e, ("layer",)), "WITH RECURSIVE adj AS (SELECT layer, src AS a, dst AS b FROM layered UNION ALL SELECT layer, dst, src FROM layered), r(layer, id, component) USING KEY (layer, id) AS (SELECT DISTINCT layer, a, a FROM adj UNION SELECT adj.layer, adj.b, min(r.component) FROM r JOIN adj ON r.layer = adj.layer AND r.id = adj.a JOIN recurring.r c ON c.layer = adj.layer AND c.id = adj.b WHERE r.component < c.component GROUP BY adj.layer, adj.b) SELECT layer, id, component FROM r")
-register("O-wcc", "wedges", lambda w: C.component_edges(w.select("src", "dst", "wave"), ("wave",)), None)
-register("O-level-cc", "arcs", lambda a: C.component_edges(a.filter("ls = lt").select("src", "dst", F.col("ls").alias("level")), ("level",)), None)
+register("O-wcc", "wedges", lambda w: C.component_edges(w.select("src", "dst", "wave"), ("wave",)), components_sql("wave", "SELECT wave, src, dst FROM wedges") + " SELECT wave, id, component FROM r")
+register("O-level-cc", "arcs", lambda a: C.component_edges(a.filter("ls = lt").select("src", "dst", F.col("ls").alias("level")), ("level",)), components_sql("level", "SELECT ls AS level, src, dst FROM arcs WHERE ls = lt") + " SELECT level, id, component FROM r")
 register("O-coreness", "edges", peel.coreness)
 register("O-fixedpoint", "edges", peel.fixed_point_layers)
 register("O-waves", "layered", lambda e: peel.waves(peel.fixed_point_layers(e)))
@@ -48,10 +62,11 @@ register("O-bcc", "edges", W.blocks)
 register("O-bcc-points", "forest", lambda e: W.articulation_points(W.blocks(e)), "SELECT src AS id FROM forest GROUP BY src HAVING count(*) > 1")
 register("O-bccpart", "forest", lambda e: P.articulation_metagraph(W.blocks(e))[1], f"WITH p AS (SELECT src FROM forest GROUP BY src HAVING count(*) > 1) SELECT 'b_' || f.src || '-' || f.dst AS src, 'v_' || f.src AS dst FROM forest f JOIN p ON f.src = p.src")
 register("O-vccpart", "edges vertices", lambda e, v: P.value_component_metagraph(e, v.select("id", "value"))[0])
-register("O-topo-levels", "steps", D.topological_levels)
-register("O-dag-longest", "steps", D.longest_paths)
+UP = "WITH RECURSIVE u(id, level) AS (SELECT DISTINCT src, CAST(0 AS BIGINT) FROM steps WHERE src NOT IN (SELECT dst FROM steps) UNION SELECT s.dst, u.level + 1 FROM u JOIN steps s ON s.src = u.id)"
+register("O-topo-levels", "steps", D.topological_levels, f"{UP} SELECT id, max(level) AS level FROM u GROUP BY id")
+register("O-dag-longest", "steps", D.longest_paths, f"{UP}, d(id, level) AS (SELECT DISTINCT dst, CAST(0 AS BIGINT) FROM steps WHERE dst NOT IN (SELECT src FROM steps) UNION SELECT s.src, d.level + 1 FROM d JOIN steps s ON s.dst = d.id) SELECT a.id, a.up, b.down FROM (SELECT id, max(level) AS up FROM u GROUP BY id) a JOIN (SELECT id, max(level) AS down FROM d GROUP BY id) b ON a.id = b.id")
 register("O-dag-longest-path", "steps", D.longest_path)
-register("O-natural-weight", "steps", lambda s: rounded(D.natural_weights(s)))
+register("O-natural-weight", "steps", lambda s: rounded(D.natural_weights(s)), "WITH RECURSIVE o AS (SELECT src, count(*) AS n FROM steps GROUP BY src), w(id, w) AS (SELECT DISTINCT src, CAST(1 AS DOUBLE) FROM steps WHERE src NOT IN (SELECT dst FROM steps) UNION ALL SELECT s.dst, w.w / o.n FROM w JOIN steps s ON s.src = w.id JOIN o ON o.src = w.id) SELECT id, round(sum(w), 6) AS w FROM w GROUP BY id")
 register("O-search-expand", "forest", lambda e: rounded(D.search_expand(e, e.filter("src <= 20").select(F.col("src").alias("id")).distinct(), 1)), "WITH f AS (SELECT src, count(*) AS n FROM forest WHERE src <= 20 GROUP BY src) SELECT src AS id, CAST(0 AS BIGINT) AS step, CAST(1 AS DOUBLE) AS w, CAST(0 AS BIGINT) AS cut FROM f UNION ALL SELECT o.dst, 1, round(1.0 / f.n, 6), 0 FROM forest o JOIN f ON o.src = f.src")
 register("O-dag-meta", "arcs levels", lambda a, l: D.meta_dag(a, l.select("id", "level"))[0])
 register("O-dag-meta-links", "arcs levels", lambda a, l: D.meta_dag(a, l.select("id", "level"))[1])

@@ -52,8 +52,9 @@ def read_labels(spark: SparkSession, path: str, header: bool = False) -> DataFra
     return spark.read.csv(path, schema="id LONG, label STRING", header=header, quote='"', escape='"', multiLine=True)
 
 
-def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).json(path, multiLine=True)
+def read_json(spark: SparkSession, path: str, schema: str, documents: bool = False) -> DataFrame:
+    """Objects a line, or with ``documents`` a file that is one object or array."""
+    return spark.read.schema(schema).json(path, multiLine=documents)
 
 
 def random_graph(spark: SparkSession, n: int, p: float, seed: int = 1) -> DataFrame:
