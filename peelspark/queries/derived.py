@@ -90,7 +90,7 @@ register("O-dedup-lcc", "lccs", B.dedup_lccs, "SELECT layer, v, e, min(lcc) AS l
 register("O-dedup-lcc-members", "lccs", B.lcc_members, "SELECT layer, lcc, min(lcc) OVER (PARTITION BY layer, v, e) AS \"first\" FROM lccs")
 register("O-sample-dup", "members lccs", lambda m, c: B.sample_without_duplicates(m.select("vertex", "layer", "lcc"), c).select("layer", "lcc", "vertex"), "SELECT m.layer, m.lcc, m.vertex FROM members m JOIN (SELECT layer, min(lcc) AS lcc FROM lccs GROUP BY layer, v, e) k ON m.layer = k.layer AND m.lcc = k.lcc")
 register("O-split-single-spiral", "lccs", B.building_or_spiral, "SELECT bucket, layer, count(*) AS n, CASE WHEN count(*) = 1 THEN 'building' ELSE 'spiral' END AS kind FROM lccs GROUP BY bucket, layer")
-register("O-fpviewer-bucket-nodes", "lccs", B.summed_by_bucket, "SELECT bucket, layer, CAST(sum(v) AS BIGINT) AS v, CAST(sum(e) AS BIGINT) AS e, count(*) AS n, count(*) > 1 AS spiral FROM lccs GROUP BY bucket, layer")
+register("O-viewer-bucket-nodes", "lccs", B.summed_by_bucket, "SELECT bucket, layer, CAST(sum(v) AS BIGINT) AS v, CAST(sum(e) AS BIGINT) AS e, count(*) AS n, count(*) > 1 AS spiral FROM lccs GROUP BY bucket, layer")
 
 # layout
 VOL = "3 * log2(ie + ee + 1) / (pi() * (pow(log2(t + 1), 2) + log2(t + 1) * log2(s + 1) + pow(log2(s + 1), 2)))"

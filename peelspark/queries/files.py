@@ -58,5 +58,5 @@ register("O-snk-csv-json", "lccs", lambda c: c.sparkSession.read.schema("lcc lon
 register("O-snk-props", "vertices", lambda v: v.sparkSession.read.schema("id long, value long").json(f"{_saved(v.select('id', 'value'), sinks.write_properties)}/value"), "SELECT id, value FROM vertices")
 register("O-snk-metagraph", "lccs edges", lambda c, e: c.sparkSession.read.parquet(f"{_saved(c, lambda d, p: sinks.write_metagraph(d, e, p))}/E"), PAIRS)
 register("O-snk-save-custom", "lccs", lambda c: sinks.saved_or(c.sparkSession, new_path(c.sparkSession, "custom"), "sizes", lambda: c.groupBy("layer").agg(F.count("*").alias("n"))), "SELECT layer, count(*) AS n FROM lccs GROUP BY layer")
-register("O-snk-strata-export", "edges labels_v", exported, "SELECT id AS new_id, label AS name FROM labels_v")
+register("O-snk-export", "edges labels_v", exported, "SELECT id AS new_id, label AS name FROM labels_v")
 register("O-snk-delete", "lccs", deleted, 'SELECT true AS "first", false AS "second"')
