@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..store import BROADCAST, drop, keep
 from .hashing import _powers, mix
 
 BITS = 22
@@ -89,13 +90,15 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[float, np.ndarray, np.nda
     for y, n in sizes.items():
         chance = F.when(F.col("y") == y, F.lit(min(1.0, PER_CLASS / n))).otherwise(chance)
     draw = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = marked.filter(draw < chance)
+    sample = keep(marked.filter(draw < chance), "sample")
+    few = F.broadcast(sample) if sample.count() * 32 <= BROADCAST else sample
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "x": [np.unique(np.concatenate(f)).tobytes() if (f := features(t)) else b"" for t in b["text"]]})
 
-    got = docs.select("doc_id", "text").join(sample, "doc_id").mapInPandas(rows, "doc_id long, y int, x binary").toPandas()
+    got = docs.select("doc_id", "text").join(few, "doc_id").mapInPandas(rows, "doc_id long, y int, x binary").toPandas()
+    drop(sample)
     got["order"] = pd.util.hash_array(got["doc_id"].to_numpy(np.int64))
     got = got.sort_values(["order", "x"])
     return fit([np.frombuffer(x, np.int32) for x in got["x"]], got["y"].to_numpy(float))
