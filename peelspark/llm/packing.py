@@ -19,11 +19,12 @@ packed.  A null ``doc_id`` is kept as null.  Extra columns are ignored.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -47,12 +48,19 @@ class ByteEncoder:
 
     def __init__(self, ranks: str, whole: str, pattern: str) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks, "rb"))}
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-        self.exact = Tokenizer.from_file(whole)
-        self.special = [t.content for t in self.exact.get_added_tokens_decoder().values()]
+        self.whole = whole
+        with open(whole, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
+
+    @cached_property
+    def exact(self):
+        """The tokenizer itself, loaded by workers that meet a text for it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.whole)
 
     def encode(self, text: str) -> bytes:
         if not any(s in text for s in self.special):
