@@ -32,10 +32,11 @@ link with nothing else.  Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -54,6 +55,8 @@ ROUNDS = 3
 #: One in so many documents is looked at for the first guess at common tokens; a token of three of them is one.
 SAMPLE = 32
 LEAF, SMALL = 16, 64
+#: Rows of an Arrow batch: a pair brings two whole sets, so that batches are kept short.
+BATCH = 1_000
 POINTS = "doc_id long, n long, s1 long, s2 long, counts binary, keys array<long>"
 
 
@@ -86,7 +89,7 @@ def points(docs: DataFrame, k: int, percent: int, moved: np.ndarray) -> DataFram
                 counts = counts.astype(COUNT)
                 with np.errstate(over="ignore"):
                     sums = [int(x.view(np.int64)) for x in (s.sum(dtype=np.uint64), mix(s).sum(dtype=np.uint64))]
-                rows.append((doc, n, *sums, counts.tobytes(), ordered[:first].view(np.int64)))
+                rows.append((doc, n, *sums, counts.tobytes(), ordered[:first].view(np.int64).copy()))
             yield pd.DataFrame(rows, columns=["doc_id", "n", "s1", "s2", "counts", "keys"]).astype({"doc_id": "Int64"})
 
     return docs.select("doc_id", "text").mapInPandas(make, POINTS)
@@ -123,15 +126,19 @@ class CountTree:
 
 def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Whole buckets of key-sorted batches."""
-    rest = None
+    rest: list[pd.DataFrame] = []
     for b in batches:
-        b = b if rest is None else pd.concat([rest, b], ignore_index=True)
-        cut = int((b["key"] != b["key"].iloc[-1]).sum()) if len(b) else 0
-        if cut:
-            yield b.iloc[:cut]
-        rest = b.iloc[cut:].reset_index(drop=True)
-    if rest is not None and len(rest):
-        yield rest
+        if not len(b):
+            continue
+        last = b["key"].iloc[-1]
+        if rest and rest[-1]["key"].iloc[-1] != last or b["key"].iloc[0] != last:
+            cut = int((b["key"] != last).sum())
+            yield pd.concat([*rest, b.iloc[:cut]], ignore_index=True)
+            rest = []
+            b = b.iloc[cut:].reset_index(drop=True)
+        rest.append(b)
+    if rest:
+        yield pd.concat(rest, ignore_index=True)
 
 
 def tree_pairs(members: DataFrame, percent: int, best: bool) -> DataFrame:
@@ -259,8 +266,25 @@ def still_open(members: DataFrame, parts: DataFrame, light: DataFrame) -> DataFr
     return placed.join(several, "key", "left_semi").join(light, "doc_id")
 
 
+@contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most ``BATCH`` rows for the jobs run inside; the session's own setting is put back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(BATCH, int(before)) if int(before) > 0 else BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row."""
+    with short_batches(docs.sparkSession):  # every job with Python steps runs in here
+        return _components(docs, k, percent, doc_id, text)
+
+
+def _components(docs: DataFrame, k: int, percent: int, doc_id: str, text: str) -> DataFrame:
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     spark = docs.sparkSession
     moved = common_tokens(docs, k)
