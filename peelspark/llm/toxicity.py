@@ -60,10 +60,16 @@ def features(text: str | None) -> list[np.ndarray]:
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 1.0, beta: float = 1.0, l1: float = 3.0, l2: float = 0.05, passes: int = 6) -> tuple[float, np.ndarray, np.ndarray]:
     """(bias, feature numbers, weights) of a model whose other weights are zero."""
-    z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    # places for the features that occur, fewer than there are hashes
+    held = np.zeros(1 << BITS, bool)
+    for x in rows:
+        held[x] = True
+    place = np.cumsum(held, dtype=np.int32) - 1
+    z, n = np.zeros(held.sum()), np.zeros(held.sum())
     bias = bias_n = 0.0
     for _ in range(passes):
         for x, y in zip(rows, labels, strict=True):
+            x = place[x]
             zx, nx = z[x], n[x]
             root = np.sqrt(nx)
             w = np.where(np.abs(zx) <= l1, 0.0, (np.sign(zx) * l1 - zx) / ((beta + root) / alpha + l2))
@@ -73,7 +79,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 1.0, beta: fl
             bias_n += g * g
             bias -= alpha * g / (beta + bias_n**0.5)
     at = np.flatnonzero(np.abs(z) > l1).astype(np.int32)
-    return bias, at, ((np.sign(z[at]) * l1 - z[at]) / ((beta + np.sqrt(n[at])) / alpha + l2)).astype(np.float32)
+    return bias, np.flatnonzero(held)[at].astype(np.int32), ((np.sign(z[at]) * l1 - z[at]) / ((beta + np.sqrt(n[at])) / alpha + l2)).astype(np.float32)
 
 
 def held_out(doc_id, modulus: int, remainder: int):
