@@ -10,6 +10,9 @@ keep right check digits, names the gender that their title shows.
 
 Distinctness is checked over the corpus: distinct entities whose surrogates are
 equal, or equal to a real entity, are given another try until none is left.
+After ``TRIES`` tries in the entity's own form the surrogates of mail addresses,
+phone numbers, secrets and names grow, so that a small form that many use up
+doesn't end the search; the other types have 10^9 values or more.
 Few entities need that; what they need is sent to every executor only up to
 ``BROADCAST`` bytes and is otherwise joined to the documents.
 
@@ -28,8 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..store import BROADCAST, keep
+from ..store import BROADCAST, drop, keep
 
+#: Tries in the form of the entity; later ones are longer.
 TRIES = 12
 NUMBERS = re.compile(
     r"(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d))"
@@ -68,7 +72,8 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                 out.append((start, b.end(), "mail", text[start : b.end()].lower()))
         at = text.find("@", at + 1)
     if any(h in text for h in HINTS):
-        out += [(*m.span(1), "secret", m[1]) for m in SECRET.finditer(text)]
+        # a line of dots or dashes is a blank or a rule and no secret
+        out += [(*m.span(1), "secret", m[1]) for m in SECRET.finditer(text) if any(map(str.isalnum, m[1]))]
     if TITLE_HINT.search(text):
         out += [(*m.span(2), f"name-{TITLES[m[1]]}", m[2].lower()) for m in NAME.finditer(text)]
     for m in NUMBERS.finditer(text):
@@ -120,17 +125,21 @@ def _shaped(s: str, draw: Keyed) -> str:
 def surrogate(key: bytes, kind: str, normal: str, attempt: int = 0) -> str:
     """Surrogate of an entity in normal form, in normal form."""
     draw = Keyed(key, kind, normal, attempt)
+    longer = max(0, attempt - TRIES + 1)
+    more = lambda n: "".join("abcdefghijklmnopqrstuvwxyz"[draw.below(26)] for _ in range(n))
     if kind == "mail":
         local, _, domain = normal.partition("@")
         *labels, top = domain.split(".")
-        return f"{_shaped(local, draw)}@{'.'.join(_shaped(x, draw) for x in labels)}.{top}"
+        if not any(map(str.isalnum, local + "".join(labels))):  # nothing to draw in its own form
+            longer = attempt + 1
+        return f"{_shaped(local, draw)}{more(longer and longer + 7)}@{'.'.join(_shaped(x, draw) for x in labels)}.{top}"
     if kind == "ip":
         return ".".join(str(1 + draw.below(254)) for _ in range(4))
     if kind == "card":
         body = normal[0] + "".join(str(draw.below(10)) for _ in normal[1:-1])
         return body + str((10 - luhn(body + "0")) % 10)
     if kind == "phone":
-        return normal[:1] + "".join(str(draw.below(10)) for _ in normal[1:])
+        return normal[:1] + "".join(str(draw.below(10)) for _ in range(min(max(15, len(normal)), len(normal) + longer) - 1))
     if kind == "iban":
         body = _shaped(normal[4:], draw)
         return normal[:2] + f"{98 - mod97(normal[:2] + '00' + body):02d}" + body
@@ -139,21 +148,26 @@ def surrogate(key: bytes, kind: str, normal: str, attempt: int = 0) -> str:
         of = SYLLABLES[script]
         words = []
         for i, _ in enumerate(normal.split(" ")):
-            w = "".join(of[draw.below(len(of))] for _ in range(2 + draw.below(3)))
+            w = "".join(of[draw.below(len(of))] for _ in range(2 + draw.below(3) + longer))
             if i == 0 and kind != "name-n":  # the given name's ending follows the gender
                 w += {"latin": ("na", "n"), "cyrillic": ("на", "н")}[script][kind == "name-m"]
             words.append(w)
         return " ".join(words)
-    return _shaped(normal, draw)
+    return _shaped(normal, draw) + (more(longer and longer + 7) if kind == "secret" else "")
 
 
 def laid_out(value: str, kind: str, mention: str) -> str:
     """A surrogate in the form of a mention."""
     if kind in ("card", "phone", "ssn", "iban"):
         chars = iter(value)
-        return "".join(next(chars) if c.isalnum() else c for c in mention)
+        return "".join(next(chars) if c.isalnum() else c for c in mention) + "".join(chars)
     if kind == "mail":
-        return value.upper() if mention.isupper() else "".join(v.upper() if m.isupper() else v for v, m in zip(value, mention, strict=True))
+        if mention.isupper():
+            return value.upper()
+        # what a longer surrogate has more stands before the @
+        at, end = mention.index("@"), value.index("@")
+        form = "".join(v.upper() if m.isupper() else v for v, m in zip(value[:at] + value[end:], mention, strict=True))
+        return form[:at] + value[at:end] + form[at:]
     return value.title() if kind.startswith("name") else value
 
 
@@ -178,9 +192,11 @@ def second_tries(found: DataFrame, key: bytes) -> DataFrame:
     schema = "kind string, normal string, attempt int, value string"
     # names of every gender share one space
     space = F.regexp_replace("kind", "-.*", "").alias("space")
-    chosen = found.withColumn("attempt", F.lit(0))
-    for n in range(TRIES):
+    chosen, read = found.withColumn("attempt", F.lit(0)), []
+    while True:
         valued = keep(chosen.mapInPandas(derive, schema).select("*", space), "surrogates")
+        for old in read:
+            drop(old)
         owner = valued.groupBy("space", "value").agg(F.min(F.struct("attempt", "kind", "normal")).alias("owner"), F.count("*").alias("n"))
         taken = owner.filter("n > 1").select("space", "value", "owner")
         again = valued.join(taken, ["space", "value"]).filter((F.col("owner.kind") != F.col("kind")) | (F.col("owner.normal") != F.col("normal"))).select("kind", "normal")
@@ -190,8 +206,7 @@ def second_tries(found: DataFrame, key: bytes) -> DataFrame:
         if again.isEmpty():
             break
         chosen = valued.join(again.withColumn("more", F.lit(1)), ["kind", "normal"], "left").select("kind", "normal", (F.col("attempt") + F.coalesce("more", F.lit(0))).cast("int").alias("attempt"))
-    else:
-        raise RuntimeError(f"surrogates still collide after {TRIES} tries")
+        read = [valued, again]
     return valued.filter("attempt > 0").select("kind", "normal", "attempt")
 
 

@@ -278,6 +278,27 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     assert len(tries) == 5  # one equals a real address, so all move
 
 
+def test_surrogates_of_small_spaces(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    blanks = ["Password: ________", "token = ........", "password: --------", "Secret\n=================="]
+    secrets = [f"Password: =======.{d}" for d in range(10)]
+    mails = [f"write to {a.upper()}@{b}.org" for a in letters for b in letters] + ["-@-.com"]
+    texts = [*blanks, *secrets, *mails]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.row.doc_id: r for r in pii.replace(df, b"key").collect()}
+    assert [got[i].text_out for i in range(4)] == blanks and not any(got[i].n_entities for i in range(4))
+    out = [got[i].text_out for i in range(4, len(texts))]
+    assert len({x.lower() for x in out} | {x.lower() for x in texts[4:]}) == 2 * len(out)
+    assert all(got[i].kinds == ["mail" if i >= 14 else "secret"] for i in range(4, len(texts))) and all(x[9].isupper() for x in out[10:-1])
+
+
+def test_long_surrogates_keep_their_type():
+    for kind, mention, normal in [("phone", "+1 (743) 555-3824", "17435553824"), ("name-f", "Jane Doe", "jane doe"), ("mail", "A.b@C.de", "a.b@c.de"), ("secret", "......1..", "......1..")]:
+        values = [pii.laid_out(pii.surrogate(b"k", kind, normal, pii.TRIES + n), kind, mention) for n in range(3)]
+        assert len(set(values)) == 3 and all(len(v) > len(mention) or kind.startswith("name") for v in values)
+    assert pii.laid_out("x.yqrstuvwx@d.de", "mail", "A.b@C.de") == "X.yqrstuvwx@D.de"
+
+
 def test_decontamination(spark):
     r = random.Random(8)
     vocabulary = ["".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(3)) for _ in range(600)]
