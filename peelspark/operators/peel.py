@@ -9,6 +9,7 @@ the same rows.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 import numpy as np
@@ -76,7 +77,7 @@ def local_layers(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
 
 
 def local_waves(u: np.ndarray, v: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(wave, fragment) of each vertex under the constant threshold ``k``."""
+    """(wave, fragment) of each vertex; the threshold is ``k``, raised to the least degree left where a wave starts."""
     wave, frag = np.full(n, -1), np.full(n, -1)
     degree = np.bincount(u, minlength=n) + np.bincount(v, minlength=n)
     left, w, f = np.ones(n, bool), 0, 0
@@ -158,36 +159,46 @@ def waves(layered: DataFrame) -> DataFrame:
 
     schema = "layer long, id long, wave long, frag long"
     out = small.groupBy("layer", "component").applyInPandas(peel, schema)
-    return out if large.isEmpty() else out.unionByName(wide_waves(large.select("layer", "src", "dst")))
+    return out if large.isEmpty() else out.unionByName(wide_waves(large))
 
 
-def wide_waves(layered: DataFrame) -> DataFrame:
-    """The same by one synchronous step over all layers at a time; a layer moves to its next wave when its fragment is empty."""
-    adj = keep(layered.unionByName(layered.select("layer", F.col("dst").alias("src"), F.col("src").alias("dst"))), "adjacency")
-    vertices = adj.select("layer", F.col("src").alias("id")).distinct()
-    state = keep(vertices.select("layer", "id", F.lit(None).cast("long").alias("wave"), F.lit(None).cast("long").alias("frag")), "waves")
-    at = keep(vertices.select("layer").distinct().select("layer", F.lit(0).cast("long").alias("w"), F.lit(0).cast("long").alias("f")), "clock")
+def wide_waves(placed: DataFrame) -> DataFrame:
+    """The same for ``placed(layer, component, src, dst)`` by one synchronous step over all components at a time.
+
+    A component moves to its next wave when its fragment is empty; its threshold
+    starts at the layer and rises to its least degree where a wave starts.
+    """
+    on = ["layer", "component"]
+    adj = keep(placed.select(*on, "src", "dst").unionByName(placed.select(*on, F.col("dst").alias("src"), F.col("src").alias("dst"))), "adjacency")
+    vertices = adj.select(*on, F.col("src").alias("id")).distinct()
+    state = keep(vertices.select(*on, "id", F.lit(None).cast("long").alias("wave"), F.lit(None).cast("long").alias("frag")), "waves")
+    zero = F.lit(0).cast("long")
+    at = keep(vertices.select(*on).distinct().select(*on, zero.alias("w"), zero.alias("f"), F.col("layer").cast("long").alias("t")), "clock")
     while True:
-        left = state.filter("wave IS NULL").select("layer", "id")
+        left = state.filter("wave IS NULL").select(*on, "id")
         if left.isEmpty():
-            return state
-        alive = adj.join(left.withColumnRenamed("id", "dst"), ["layer", "dst"], "left_semi").groupBy("layer", F.col("src").alias("id")).count()
-        degree = left.join(alive, ["layer", "id"], "left").select("layer", "id", F.coalesce("count", F.lit(0)).alias("degree")).join(F.broadcast(at), "layer")
-        out = keep(degree.filter(F.when(F.col("f") == 0, F.col("degree") <= F.col("layer")).otherwise(F.col("degree") < F.col("layer"))).select("layer", "id", "w", "f"), "out")
-        moved = F.broadcast(out.select("layer").distinct().withColumn("went", F.lit(True)))
-        new = keep(state.join(out, ["layer", "id"], "left").select("layer", "id", F.coalesce("wave", "w").alias("wave"), F.coalesce("frag", "f").alias("frag")), "waves")
-        clock = keep(at.join(moved, "layer", "left").select("layer", F.when(F.col("went"), F.col("w")).otherwise(F.col("w") + 1).alias("w"), F.when(F.col("went"), F.col("f") + 1).otherwise(F.lit(0)).cast("long").alias("f")), "clock")
-        for old in (state, at):
+            return state.select("layer", "id", "wave", "frag")
+        alive = adj.join(left.withColumnRenamed("id", "dst"), [*on, "dst"], "left_semi").groupBy(*on, F.col("src").alias("id")).count()
+        degree = keep(left.join(alive, [*on, "id"], "left").select(*on, "id", F.coalesce("count", zero).alias("degree")), "degrees")
+        least = degree.groupBy(*on).agg(F.min("degree").alias("least"))
+        # components without vertices left drop out of the clock
+        now = keep(at.join(least, on).withColumn("t", F.when(F.col("f") == 0, F.greatest("t", "least")).otherwise(F.col("t"))), "clock")
+        out = keep(degree.join(now, on).filter(F.when(F.col("f") == 0, F.col("degree") <= F.col("t")).otherwise(F.col("degree") < F.col("t"))).select(*on, "id", "w", "f"), "out")
+        moved = out.select(*on).distinct().withColumn("went", F.lit(True))
+        new = keep(state.join(out, [*on, "id"], "left").select(*on, "id", F.coalesce("wave", "w").alias("wave"), F.coalesce("frag", "f").alias("frag")), "waves")
+        clock = keep(now.join(moved, on, "left").select(*on, F.when(F.col("went"), F.col("w")).otherwise(F.col("w") + 1).alias("w"), F.when(F.col("went"), F.col("f") + 1).otherwise(zero).alias("f"), "t"), "clock")
+        for old in (state, at, now, degree, out):
             drop(old)
         state, at = new, clock
 
 
-def iterative_waves(edges: DataFrame, rounds: int = 1_000) -> DataFrame:
+def iterative_waves(edges: DataFrame) -> DataFrame:
     """``src, dst, round``: edges inside the last wave are labelled and removed, again and again."""
     from .components import component_edges
 
     left, out = keep(sanitize(edges), "left"), None
-    for n in range(rounds):
+    # each round takes an edge at least
+    for n in itertools.count():
         if left.isEmpty():
             break
         # thresholds rise from the least degree: layer 1 with rising thresholds is the general rule

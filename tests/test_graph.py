@@ -48,6 +48,17 @@ def test_wide_ways_agree(spark, monkeypatch):
     assert {r.id: (r.wave, r.frag) for r in peel.waves(layered).collect()} == brute.waves(top, k)
 
 
+def test_wide_waves_raise_the_threshold(spark, monkeypatch):
+    # a tail on four linked vertices, a ring with a chord and a path, in components of their own
+    edges = [(1, 2), (2, 3), (3, 4), (3, 5), (3, 6), (4, 5), (4, 6), (5, 6), (10, 11), (11, 12), (12, 13), (10, 13), (10, 12), (20, 21), (21, 22)]
+    layered = frame(spark, edges).withColumn("layer", F.lit(1).cast("long"))
+    rows = lambda: {(r.id, r.wave, r.frag) for r in peel.waves(layered).collect()}
+    rounds = lambda: {(r.src, r.dst): r.round for r in peel.iterative_waves(frame(spark, edges)).collect()}
+    want = rows(), rounds()
+    monkeypatch.setattr(peel, "LOCAL", 0)
+    assert (rows(), rounds()) == want and set(want[1]) == set(edges)
+
+
 def test_components(spark):
     edges = rand(60, 0.02, 3)
     assert {r.id: r.component for r in component_edges(frame(spark, edges)).collect()} == brute.components(edges)
