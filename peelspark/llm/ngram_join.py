@@ -65,6 +65,12 @@ def need(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
+def smaller(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Upper bound of the tokens that points share: the sum of the smaller counts, or no bound where both are full."""
+    shared = np.minimum(x, y).sum(-1, dtype=np.int64)
+    return np.where(shared == GROUPS * np.iinfo(COUNT).max, 1 << 62, shared)
+
+
 def points(docs: DataFrame, k: int, percent: int, moved: np.ndarray) -> DataFrame:
     """Size, signature, group counts and prefix of every row's set."""
     sent = docs.sparkSession.sparkContext.broadcast(moved)
@@ -84,7 +90,7 @@ def points(docs: DataFrame, k: int, percent: int, moved: np.ndarray) -> DataFram
                 else:
                     ordered = s
                 counts = np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
-                if n and counts.max() > np.iinfo(COUNT).max:  # then the bound leaves nothing out
+                if n and counts.max() > np.iinfo(COUNT).max:  # then the bound leaves nothing out, see smaller()
                     counts[:] = np.iinfo(COUNT).max
                 counts = counts.astype(COUNT)
                 with np.errstate(over="ignore"):
@@ -116,7 +122,7 @@ class CountTree:
             fits = (100 * low <= (size * 10_000) // percent) & (100 * high >= percent * size)
             at = at[fits]
             # a smaller partner asks for the least overlap
-            at = at[np.minimum(most[fits], counts).sum(1, dtype=np.int64) >= need(size, np.maximum(low[fits], -(-percent * size // 100)), percent)]
+            at = at[smaller(most[fits], counts) >= need(size, np.maximum(low[fits], -(-percent * size // 100)), percent)]
             if depth:
                 width = len(self.levels[depth - 1][1])
                 at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
@@ -151,7 +157,7 @@ def tree_pairs(members: DataFrame, percent: int, best: bool) -> DataFrame:
                 docs, parts, sizes = (g[c].to_numpy() for c in ("doc_id", "component", "n"))
                 counts = np.frombuffer(b"".join(g["counts"]), COUNT).reshape(-1, GROUPS)
                 if len(docs) <= SMALL:  # a tree of a few leaves: all of them at once
-                    shared = np.minimum(counts[:, None], counts[None]).sum(2, dtype=np.int64)
+                    shared = smaller(counts[:, None], counts[None])
                     fits = (shared >= need(sizes[:, None], sizes[None], percent)) & (parts[:, None] != parts[None])
                     fits &= 100 * np.minimum(sizes[:, None], sizes[None]) >= percent * np.maximum(sizes[:, None], sizes[None])
                     if best:
@@ -167,7 +173,7 @@ def tree_pairs(members: DataFrame, percent: int, best: bool) -> DataFrame:
                     found = tree.search(counts[i], int(sizes[i]), percent)
                     found = found[(parts[found] != parts[i]) & (best | (docs[found] > docs[i]))]
                     if best and len(found):
-                        likely = np.minimum(counts[found], counts[i]).sum(1, dtype=np.int64) / (sizes[found] + sizes[i])
+                        likely = smaller(counts[found], counts[i]) / (sizes[found] + sizes[i])
                         found = found[np.lexsort((docs[found], -likely))[:1]]
                     out.append(np.stack((np.full(len(found), docs[i]), docs[found]), 1))
             pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0) if out else np.zeros((0, 2), np.int64)
@@ -351,7 +357,7 @@ def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
         for b in batches:
             if len(b):
                 x, y = (np.frombuffer(b"".join(b[c]), COUNT).reshape(-1, GROUPS) for c in ("c_a", "c_b"))
-                yield b.loc[np.minimum(x, y).sum(1, dtype=np.int64) >= need(b["n_a"], b["n_b"], percent).to_numpy(), ["a", "b"]]
+                yield b.loc[smaller(x, y) >= need(b["n_a"], b["n_b"], percent).to_numpy(), ["a", "b"]]
 
     fits = (F.col("n_a") * percent <= F.col("n_b") * 100) & (F.col("n_b") * percent <= F.col("n_a") * 100)
     return pairs.filter(fits).select("a", "b", "n_a", "n_b", "c_a", "c_b").mapInPandas(bound, "a long, b long")

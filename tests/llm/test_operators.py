@@ -126,6 +126,21 @@ def test_count_tree_loses_nothing():
         assert set(want) <= set(tree.search(counts[i], int(sizes[i]), 85))
 
 
+def test_full_counts_bound_nothing(spark, monkeypatch):
+    n = 9_400_000  # tokens of two equal sets, more than full counts add up to
+    full = np.full(ngram_join.GROUPS, np.iinfo(ngram_join.COUNT).max, ngram_join.COUNT)
+    tree = ngram_join.CountTree(np.stack([full] * 40), np.full(40, n))
+    assert len(tree.search(full, n, 85)) == 40
+    raw = full.tobytes()
+    pairs = spark.createDataFrame([(1, 2, n, n, raw, raw)], "a long, b long, n_a long, n_b long, c_a binary, c_b binary")
+    assert ngram_join._bounded(pairs, 85).count() == 1
+    members = spark.createDataFrame([(7, i, i, n, raw) for i in (1, 2)], "key long, doc_id long, component long, n long, counts binary")
+    for small in (64, 1):
+        monkeypatch.setattr(ngram_join, "SMALL", small)
+        for best in (True, False):
+            assert [tuple(x) for x in ngram_join.tree_pairs(members, 85, best).collect()] == [(1, 2)]
+
+
 def test_embeddings(spark):
     r = np.random.default_rng(5)
     base = r.standard_normal((400, 64))
