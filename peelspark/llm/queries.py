@@ -46,7 +46,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
     none = F.array().cast("array<bigint>")
-    out = docs.select("doc_id").join(found, "doc_id", "left")
+    out = docs.select("doc_id", decontamination.key_of("doc_id", "text").alias("doc")).join(found.drop("doc_id"), "doc", "left")
     return out.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("item_ids", none).alias("item_ids"), "cosine", "cover")
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..store import table, without
+from ..store import keep, table, without
 from . import decontamination, line_dedup, ngram_join, packing, toxicity
 
 
@@ -26,14 +26,22 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by five-word shingles and a similarity of 0.8 the smallest ``doc_id`` stays."""
-    groups = ngram_join.jaccard_components(docs, k=5, percent=80)
-    return without(docs, groups.filter("doc_id <> component_id"), "doc_id")
+    """Of each group of documents linked by five-word shingles and a similarity of 0.8 the smallest ``doc_id`` stays; rows without one come last."""
+    lone = docs.filter("doc_id IS NULL")
+    if not lone.isEmpty():
+        lone = keep(lone.withColumn("_row", F.monotonically_increasing_id()), "no-id")
+        after = (docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0] or 0) + 1
+        docs = docs.filter("doc_id IS NOT NULL").withColumn("_row", F.col("doc_id").cast("long")).unionByName(lone.withColumn("_row", F.col("_row") + F.lit(after)))
+    else:
+        docs = docs.withColumn("_row", F.col("doc_id").cast("long"))
+    groups = ngram_join.jaccard_components(docs, k=5, percent=80, doc_id="_row")
+    return without(docs, groups.filter("doc_id <> component_id").withColumnRenamed("doc_id", "_row"), "_row").drop("_row")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return without(docs, decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")), "doc_id")
+    found = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return without(docs.withColumn("_doc", decontamination.key_of("doc_id", "text")), found.select(F.col("doc").alias("_doc")), "_doc").drop("_doc")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from peelspark.llm import decontamination, embedding_dedup, langid, line_dedup, ngram_join, packing, pii, token_count, tool_calls, toxicity
+from peelspark.llm import decontamination, embedding_dedup, langid, line_dedup, ngram_join, packing, pii, queries, stages, token_count, tool_calls, toxicity
 
 P = pytest.importorskip("public_tokenizers")
 WORDS = "the of and river stone light under open small house garden winter paper letter window morning silver road music table".split()
@@ -406,6 +406,22 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == kept["decontamination"]
 
 
+def test_rows_without_id_are_judged_by_text(spark, tmp_path):
+    r = random.Random(11)
+    item, copied, other = (" ".join(f"w{r.randrange(500)}" for _ in range(30)) for _ in range(3))
+    rows = [(None, "so " + item), (None, "so " + item), (None, copied), (None, copied), (None, other), (None, other), (7, copied), (8, "clean text of a few words"), (None, None), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rated = collections.Counter((x.doc_id, x.contaminated) for x in queries.op7_decontamination(spark, str(tmp_path)).collect())
+    assert rated == {(None, True): 2, (None, False): 7, (7, False): 1, (8, False): 1}
+    left = collections.Counter(map(tuple, stages.drop_leaks(spark, docs, str(tmp_path)).collect()))
+    assert left == collections.Counter(rows[2:])
+    single = stages.drop_similar(spark, docs, str(tmp_path))
+    assert single.columns == docs.columns
+    assert collections.Counter(map(tuple, single.collect())) == collections.Counter([rows[0], rows[4], *rows[6:]])
+
+
 def test_hash_is_the_contracts(docs):
     out = line_dedup.dedup_lines(docs).select("row.doc_id", "kept", F.sha2("kept", 256).alias("h")).collect()
     assert all(r.h == hashlib.sha256(r.kept.encode()).hexdigest() for r in out)
