@@ -7,6 +7,8 @@ shared folder, so a lost executor costs a task and not the run.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,17 +31,20 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame, max_steps: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_steps: int | None = None) -> DataFrame:
     """``edges(u, v)`` of any sortable type -> ``(id, component)`` of every endpoint, the component being its least vertex.
 
     Nulls and self loops are ignored (a vertex that has only a self loop is its
-    own component); repeated edges count once; no edges give no rows.
+    own component); repeated edges count once; no edges give no rows.  Steps go on
+    until nothing changes; more than ``max_steps`` of them are an error.
     """
     edges = edges.select("u", "v").filter("u IS NOT NULL AND v IS NOT NULL")
     vertices = edges.select(F.col("u").alias("id")).union(edges.select("v")).distinct()
     state = keep(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
     before = None
-    for _ in range(max_steps):
+    for step in itertools.count():
+        if step == max_steps:
+            raise RuntimeError(f"components aren't closed after {max_steps} steps")
         new = keep(_star(_star(state, True), False), "cc")
         # a fixed point keeps the number of edges and the sum of their hashes
         mark = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast(T.DecimalType(38, 0)))).first()

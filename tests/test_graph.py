@@ -48,6 +48,13 @@ def test_wide_ways_agree(spark, monkeypatch):
     assert {r.id: (r.wave, r.frag) for r in peel.waves(layered).collect()} == brute.waves(top, k)
 
 
+def test_components_are_closed_or_raise(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
+    assert {r.component for r in connected_components(path).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        connected_components(path, max_steps=1)
+
+
 def test_wide_waves_raise_the_threshold(spark, monkeypatch):
     # a tail on four linked vertices, a ring with a chord and a path, in components of their own
     edges = [(1, 2), (2, 3), (3, 4), (3, 5), (3, 6), (4, 5), (4, 6), (5, 6), (10, 11), (11, 12), (12, 13), (10, 13), (10, 12), (20, 21), (21, 22)]
