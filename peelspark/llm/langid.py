@@ -5,16 +5,18 @@ hashed 1- to 3-grams.  Document frequencies come from every document that may
 be learned from.  The model is trained on a bounded sample, about ``SAMPLE``
 documents spread over the languages, by follow-the-regularised-leader steps
 with L1 and L2 penalties; a temperature fitted on a fifth of the sample, kept
-from training, calibrates the probabilities.
+from training, calibrates the probabilities.  One executor task fits; the model,
+whose size the number of languages sets, is what the driver receives.
 
 Null texts and texts without letters are ``und`` with score 0; without any
-labelled document all are.  Repeated rows are rated alike; extra columns are
+labelled document all are.  Of sampled rows that share an id and a language one
+is learned from, and rows without an id count as sharing one.  Repeated rows are rated alike; extra columns are
 ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -22,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .fitting import Spool, fitted
 from .toxicity import held_out
 
 BITS = 15
@@ -59,12 +62,25 @@ def weighed(grams: tuple[np.ndarray, np.ndarray], idf: np.ndarray) -> tuple[np.n
     return at, x / max(np.sqrt((x * x).sum()), 1e-12)
 
 
-def fit(rows: list, labels: np.ndarray, k: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, passes: int = 3) -> np.ndarray:
+class Weighed(Sequence):
+    """TF-IDF vectors of spooled n-gram counts, made when they are asked for."""
+
+    def __init__(self, at: Spool, n: Spool, idf: np.ndarray) -> None:
+        self.at, self.n, self.idf = at, n, idf
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        return weighed((self.at[i].astype(np.int64), self.n[i]), self.idf)
+
+
+def fit(rows: Sequence, labels: np.ndarray, k: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, passes: int = 3) -> np.ndarray:
     """Weights, a row for each n-gram; the last row is the bias."""
     z, n = np.zeros(((1 << BITS) + 1, k)), np.zeros(((1 << BITS) + 1, k))
     solve = lambda z, n: np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((beta + np.sqrt(n)) / alpha + l2))
     for _ in range(passes):
-        for (at, x), y in zip(rows, labels, strict=True):
+        for (at, x), y in zip(rows, labels, strict=False):
             at, x = np.append(at, 1 << BITS), np.append(x, 1.0)
             zx, nx = z[at], n[at]
             w = solve(zx, nx)
@@ -125,35 +141,39 @@ def train(docs: DataFrame) -> dict:
             grams = [ngrams(t) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "lang": b["lang"], "at": [g and g[0].astype(np.uint16).tobytes() for g in grams], "n": [g and g[1].astype(np.int32).tobytes() for g in grams]})[[g is not None for g in grams]]
 
-    got = may.filter(draw < chance).mapInPandas(rows, "doc_id long, lang string, at binary, n binary").toPandas()
-    got = got.assign(order=pd.util.hash_array(got["doc_id"].to_numpy(np.int64))).sort_values(["order", "at", "n"])
-    data = [weighed((np.frombuffer(a, np.uint16).astype(np.int64), np.frombuffer(n, np.int32)), idf) for a, n in zip(got["at"], got["n"], strict=True)]
-    labels = got["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy()
-    if not data:
+    def learn(labels: pd.DataFrame, at: Spool, n: Spool) -> list[tuple]:
+        data = Weighed(at, n, idf)
+        y = labels["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64)
+        kept = len(data) - len(data) // 5
+        w = fit(data, y[:kept], len(langs))
+        rest = np.array([x @ w[at] + w[-1] for at, x in (data[i] for i in range(kept, len(data)))]).reshape(-1, len(langs))
+        return [(len(data), w.astype(np.float32).tobytes(), temperature(rest, y[kept:]))]
+
+    grams = may.filter(draw < chance).mapInPandas(rows, "doc_id long, lang string, at binary, n binary")
+    once = grams.groupBy("doc_id", "lang").agg(F.min(F.struct("at", "n")).alias("g"))
+    sample = once.select("lang", F.col("g.at").alias("at"), F.col("g.n").alias("n"), F.xxhash64(F.lit(8), "doc_id", "lang").alias("place"))
+    model = fitted(sample, ["place", "lang", "at", "n"], {"at": "<u2", "n": "<i4"}, ["lang"], learn, "learned long, w binary, t double")[0]
+    if not model["learned"]:
         return {"langs": []}
-    kept = len(data) - len(data) // 5
-    w = fit(data[:kept], labels[:kept], len(langs))
-    rest = np.array([x @ w[at] + w[-1] for at, x in data[kept:]]).reshape(-1, len(langs))
-    return {"langs": langs, "idf": idf.astype(np.float32), "w": w.astype(np.float32), "t": temperature(rest, labels[kept:])}
+    return {"langs": langs, "idf": idf.astype(np.float32), "w": np.frombuffer(model["w"], np.float32).reshape(-1, len(langs)), "t": model["t"]}
 
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = sent.value
-        for b in batches:
-            out = []
-            for t in b["text"]:
-                g = ngrams(t) if m["langs"] else None
-                if not g:
-                    out.append(("und", 0.0))
-                    continue
-                at, x = weighed(g, m["idf"])
-                p = softmax((x @ m["w"][at] + m["w"][-1]).astype(float) / m["t"])
-                out.append((m["langs"][int(p.argmax())], float(p.max())))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "lang_pred": [x for x, _ in out], "score": [s for _, s in out]})
-
-    asked = docs.select("doc_id", "text", held_out(F.col("doc_id"), 4, 2).alias("held_out"))
-    return asked.mapInPandas(rate, "doc_id long, held_out boolean, lang_pred string, score double")
+    def rate(texts: pd.Series) -> pd.DataFrame:
+        m, out = sent.value, []
+        for t in texts:
+            g = ngrams(t) if m["langs"] else None
+            if not g:
+                out.append(("und", 0.0))
+                continue
+            at, x = weighed(g, m["idf"])
+            p = softmax((x @ m["w"][at] + m["w"][-1]).astype(float) / m["t"])
+            out.append((m["langs"][int(p.argmax())], float(p.max())))
+        return pd.DataFrame(out, columns=["lang_pred", "score"])
+
+    rate.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
+    asked = docs.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), F.pandas_udf(rate, "lang_pred string, score double")("text").alias("rated"))
+    return asked.select("doc_id", "held_out", "rated.*")

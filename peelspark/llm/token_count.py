@@ -21,16 +21,15 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .memo import Memo
 
 MARK = "▁"
-SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
 class PieceModel:
@@ -133,10 +132,10 @@ def counter(path: str) -> Counter:
 def token_counts(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` of every row's whole text."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(texts: pd.Series) -> pd.Series:
         of = counter(model)
-        for b in batches:
-            n = [of(t) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": [len(t.encode()) if t else 0 for t in b["text"]], "n_tokens": n, "over_limit": [x > limit for x in n]})
+        return pd.Series([of(t) for t in texts], dtype="int64")
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInPandas(count, SCHEMA)
+    count.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    counted = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.pandas_udf(count, "long")("text").alias("n_tokens"))
+    return counted.select(F.col("doc_id").cast("long").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -4,15 +4,17 @@ A text's features are the distinct hashes of its words, of the first bytes of
 its words (stems), of word pairs and of pairs with one word between them.
 Training visits a bounded sample of labelled rows in a fixed order with
 per-coordinate rates and an L1 penalty, which leaves few weights other than
-zero; those are sent to the executors, and every whole text is scored in one
-pass without a shuffle.
-
-The sample takes each labelled row by a hash of its id with a chance that gives
-about ``PER_CLASS`` rows of each label, fewer where there are fewer.  Rows with
-a null label aren't learned from; of repeated labels the largest counts.  A null
-or empty text has no features and gets the score of the bias alone; with no
-labelled rows every score is 0.  Repeated rows are scored alike; extra columns
-are ignored.
+zero.  One executor task fits the model and only the weights reach the driver;
+they are sent to the executors, and every whole text is scored in one pass
+without a shuffle.
+
+The sample takes each labelled id by a hash of it with a chance that gives
+about ``PER_CLASS`` ids of each label, fewer where there are fewer; of rows that
+share an id one is learned from, the one with the least features in byte order.
+Rows with a null label or id aren't learned from; of repeated labels the largest
+counts.  A null or empty text has no features and gets the score of the bias
+alone; with no labelled rows every score is that of ``NO_LABELS``, about 1e-13.
+Repeated rows are scored alike; extra columns are kept in ``row``.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..store import BROADCAST, drop, keep
+from .fitting import Spool, fitted
 from .hashing import _powers, mix
 
 BITS = 22
@@ -32,6 +35,8 @@ BITS = 22
 PER_CLASS = 3_000
 STEMS = (4, 5, 6)
 THRESHOLD = 0.7
+#: The bias without any labelled row.
+NO_LABELS = -30.0
 _BETWEEN = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _KINDS = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
@@ -58,7 +63,7 @@ def features(text: str | None) -> list[np.ndarray]:
     return [(h >> shift).astype(np.int32) for h in out]
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 1.0, beta: float = 1.0, l1: float = 3.0, l2: float = 0.05, passes: int = 6) -> tuple[float, np.ndarray, np.ndarray]:
+def fit(rows: list[np.ndarray] | Spool, labels: np.ndarray, alpha: float = 1.0, beta: float = 1.0, l1: float = 3.0, l2: float = 0.05, passes: int = 6) -> tuple[float, np.ndarray, np.ndarray]:
     """(bias, feature numbers, weights) of a model whose other weights are zero."""
     # places for the features that occur, fewer than there are hashes
     held = np.zeros(1 << BITS, bool)
@@ -89,25 +94,29 @@ def held_out(doc_id, modulus: int, remainder: int):
 def train(docs: DataFrame, labels: DataFrame) -> tuple[float, np.ndarray, np.ndarray]:
     """Model of ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``; rows of the held-out third are left out."""
     marked = labels.filter(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"), 3, 1)).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("y"))
-    sizes = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
+    sizes = {r["y"]: r["count"] for r in marked.filter("doc_id IS NOT NULL").groupBy("y").count().collect()}
     if not sizes:
-        return -30.0, np.zeros(0, np.int32), np.zeros(0, np.float32)
+        return NO_LABELS, np.zeros(0, np.int32), np.zeros(0, np.float32)
     chance = F.lit(0.0)
     for y, n in sizes.items():
         chance = F.when(F.col("y") == y, F.lit(min(1.0, PER_CLASS / n))).otherwise(chance)
     draw = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = keep(marked.filter(draw < chance), "sample")
+    sample = keep(marked.filter("doc_id IS NOT NULL").filter(draw < chance), "sampled-labels")
     few = F.broadcast(sample) if sample.count() * 32 <= BROADCAST else sample
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "x": [np.unique(np.concatenate(f)).tobytes() if (f := features(t)) else b"" for t in b["text"]]})
 
-    got = docs.select("doc_id", "text").join(few, "doc_id").mapInPandas(rows, "doc_id long, y int, x binary").toPandas()
+    def learn(labels: pd.DataFrame, x: Spool) -> list[tuple]:
+        bias, at, weights = fit(x, labels["y"].to_numpy(float))
+        return [(bias, at.tobytes(), weights.tobytes())]
+
+    marked_rows = docs.select("doc_id", "text").join(few, "doc_id").mapInPandas(rows, "doc_id long, y int, x binary")
+    once = marked_rows.groupBy("doc_id", "y").agg(F.min("x").alias("x"))
+    model = fitted(once.withColumn("place", F.xxhash64(F.lit(6), "doc_id")), ["place", "doc_id"], {"x": "<i4"}, ["y"], learn, "bias double, at binary, weights binary")
     drop(sample)
-    got["order"] = pd.util.hash_array(got["doc_id"].to_numpy(np.int64))
-    got = got.sort_values(["order", "x"])
-    return fit([np.frombuffer(x, np.int32) for x in got["x"]], got["y"].to_numpy(float))
+    return model[0]["bias"], np.frombuffer(model[0]["at"], np.int32), np.frombuffer(model[0]["weights"], np.float32)
 
 
 def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], threshold: float = THRESHOLD) -> DataFrame:
