@@ -108,8 +108,7 @@ def test_ngram_join(docs, monkeypatch, large):
         assert ngram_join.jaccard_components(empty(docs)).count() == 0
 
 
-def test_ngram_join_loosely(docs, monkeypatch):
-    monkeypatch.setattr(ngram_join, "SMALL", 2)  # trees everywhere
+def test_ngram_join_loosely(docs):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs, 2, 40).collect()}
     assert got == similar(corpus(), 2, 40)
 
@@ -120,25 +119,66 @@ def test_count_tree_loses_nothing():
     counts[150:] = counts[:150]
     sizes = counts.sum(1).astype(np.int64)
     tree = ngram_join.CountTree(counts, sizes)
-    for i in range(0, 300, 7):
+    asked = np.arange(0, 300, 7)
+    q, found, bound = tree.search(counts[asked], sizes[asked], 85)
+    for at, i in enumerate(asked):
         shared = np.minimum(counts, counts[i]).sum(1)
         want = np.flatnonzero((shared >= ngram_join.need(sizes, sizes[i], 85)) & (100 * np.minimum(sizes, sizes[i]) >= 85 * np.maximum(sizes, sizes[i])))
-        assert set(want) <= set(tree.search(counts[i], int(sizes[i]), 85))
-
-
-def test_full_counts_bound_nothing(spark, monkeypatch):
+        assert set(want) <= set(found[q == at])
+    assert (bound == np.minimum(counts[asked][q], counts[found]).sum(1)).all()
+
+
+@pytest.mark.parametrize("leaf", [64, 3])
+def test_trees_and_leaves_find_the_same(monkeypatch, leaf):
+    monkeypatch.setattr(ngram_join, "LEAF", leaf)
+    r = np.random.default_rng(12)
+    counts = r.poisson(2.0, (120, ngram_join.GROUPS)).astype(ngram_join.COUNT)
+    counts[60:] = np.maximum(counts[:60], r.random((60, ngram_join.GROUPS)) < 0.05)
+    counts = counts[r.permutation(120)]
+    sizes = counts.sum(1, dtype=np.int64)
+    # two groups, the second one of two chunks
+    i, j, bound = ngram_join.bucket_pairs(np.array([0, 50]), np.array([50, 120]), np.array([0, 80]), counts, sizes, 85)
+    want = set()
+    for a in range(120):
+        for b in range(a + 1, 120):
+            near = np.minimum(counts[a], counts[b]).sum() >= ngram_join.need(sizes[a], sizes[b], 85) and 100 * min(sizes[a], sizes[b]) >= 85 * max(sizes[a], sizes[b])
+            if near and (b < 50 or 50 <= a < 80 <= b):
+                want.add((a, b))
+    assert want <= set(zip(i.tolist(), j.tolist(), strict=True)) and want
+    assert (bound == np.minimum(counts[i], counts[j]).sum(1)).all()
+
+
+def test_buckets_cut_into_chunks_lose_nothing(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    counts = r.poisson(2.0, (90, ngram_join.GROUPS)).astype(ngram_join.COUNT)
+    counts[30:60] = counts[:30]
+    sizes = counts.sum(1, dtype=np.int64)
+    rows = [(i % 2, i, i, int(sizes[i]), counts[i].tobytes()) for i in range(90)]
+    members = spark.createDataFrame(rows, "key long, cid long, component long, n long, counts binary")
+    whole = {tuple(x) for x in ngram_join.tree_pairs(members, 85, False).collect()}
+    monkeypatch.setattr(ngram_join, "CHUNK", 7)
+    assert {(i, i + 30) for i in range(30)} <= whole == {tuple(x) for x in ngram_join.tree_pairs(members, 85, False).collect()}
+
+
+def test_ngram_join_of_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (7, b), (7, b), (9, c), (5, ""), (None, b), (None, c + " more"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((x.doc_id, x.n_shingles, x.component_id) for x in ngram_join.jaccard_components(df, 4, 85).collect())
+    assert got == collections.Counter({(1, 27, 1): 1, (5, 27, 1): 2, (7, 27, 1): 2, (9, 27, 9): 1, (5, 0, 5): 1, (None, 27, 1): 1, (None, 28, None): 1, (None, 0, None): 1})
+
+
+def test_full_counts_bound_nothing(spark):
     n = 9_400_000  # tokens of two equal sets, more than full counts add up to
     full = np.full(ngram_join.GROUPS, np.iinfo(ngram_join.COUNT).max, ngram_join.COUNT)
     tree = ngram_join.CountTree(np.stack([full] * 40), np.full(40, n))
-    assert len(tree.search(full, n, 85)) == 40
+    assert len(tree.search(full[None], np.array([n]), 85)[0]) == 40
     raw = full.tobytes()
     pairs = spark.createDataFrame([(1, 2, n, n, raw, raw)], "a long, b long, n_a long, n_b long, c_a binary, c_b binary")
     assert ngram_join._bounded(pairs, 85).count() == 1
-    members = spark.createDataFrame([(7, i, i, n, raw) for i in (1, 2)], "key long, doc_id long, component long, n long, counts binary")
-    for small in (64, 1):
-        monkeypatch.setattr(ngram_join, "SMALL", small)
-        for best in (True, False):
-            assert [tuple(x) for x in ngram_join.tree_pairs(members, 85, best).collect()] == [(1, 2)]
+    members = spark.createDataFrame([(7, i, i, n, raw) for i in (1, 2)], "key long, cid long, component long, n long, counts binary")
+    for best in (True, False):
+        assert [tuple(x) for x in ngram_join.tree_pairs(members, 85, best).collect()] == [(1, 2)]
 
 
 def test_embeddings(spark):
