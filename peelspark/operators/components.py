@@ -39,8 +39,9 @@ def connected_components(edges: DataFrame, max_steps: int | None = None) -> Data
     until nothing changes; more than ``max_steps`` of them are an error.
     """
     edges = edges.select("u", "v").filter("u IS NOT NULL AND v IS NOT NULL")
-    vertices = edges.select(F.col("u").alias("id")).union(edges.select("v")).distinct()
-    state = keep(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
+    # the input is read once
+    given = keep(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc-edges")
+    state = given.filter("u <> v")
     before = None
     for step in itertools.count():
         if step == max_steps:
@@ -48,12 +49,20 @@ def connected_components(edges: DataFrame, max_steps: int | None = None) -> Data
         new = keep(_star(_star(state, True), False), "cc")
         # a fixed point keeps the number of edges and the sum of their hashes
         mark = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast(T.DecimalType(38, 0)))).first()
-        drop(state)
+        if step:
+            drop(state)
         state, done = new, mark == before
         before = mark
         if done:
             break
-    return vertices.join(state.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    # every other vertex now has one edge, to the least of its component
+    out = state.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    out = out.unionAll(state.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    loops = given.filter("u = v")
+    if loops.isEmpty():
+        drop(given)
+        return out
+    return out.unionAll(loops.select(F.col("u").alias("id"), F.col("u").alias("component")).join(out.select("id"), "id", "left_anti"))
 
 
 def component_edges(edges: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
