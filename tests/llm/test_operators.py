@@ -70,10 +70,26 @@ def test_line_dedup_null_id(spark):
 
 def test_runs_keep_levels(spark):
     index = line_dedup.LineRuns(spark)
-    for b in range(5):
-        index.add(spark.createDataFrame([(k, k, b) for k in range(b, b + 3)], "h1 long, h2 long, doc long"))
+    for b in reversed(range(5)):  # the largest ids first
+        index.add(spark.createDataFrame([(k, k, b) for k in range(b, b + 3)] * 2, "h1 long, h2 long, doc long"))
     assert [len(x) for x in index.levels] == [1, 0, 1]
-    assert {r.h1: (r.docs, r.last) for r in index.total().collect()}[2] == (3, 2)
+    assert {r.h1: (r.docs, r.last) for r in index.total().collect()} == {k: (min(k, 4) - max(0, k - 2) + 1, min(k, 4)) for k in range(7)}
+
+
+@pytest.mark.parametrize("batches", [1, 5])
+def test_line_dedup_of_repeated_ids(spark, batches):
+    line, other, third = ("a line of more than twenty letters", "another line of more than twenty letters", "the third line of more than twenty letters")
+    rows = [(1, line), (1, line), (2, line), (1, other), (3, other), (3, other + "\n" + other), (4, other), (5, third), (6, third), (None, third), (None, third), (None, third + "\nx")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r.row.doc_id, r.row.text, r.kept) for r in line_dedup.dedup_lines(df, batches=batches).collect())
+    # two documents hold the first line: it stays; three hold the second, four the third
+    want = [(1, line, line), (1, line, line), (2, line, line), (1, other, ""), (3, other, ""), (3, other + "\n" + other, ""), (4, other, other), (5, third, ""), (6, third, third), (None, third, ""), (None, third, ""), (None, third + "\nx", "x")]
+    assert got == collections.Counter(want)
+
+
+def test_line_dedup_in_batches(docs):
+    rows = lambda n: sorted((r.row.doc_id, r.kept) for r in line_dedup.dedup_lines(docs, batches=n).collect())
+    assert rows(1) == rows(7)
 
 
 def similar(rows, k, percent):
