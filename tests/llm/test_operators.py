@@ -227,6 +227,48 @@ def test_embedding_chunks_lose_nothing(spark, monkeypatch):
     assert {x.n_links for x in got} == {39} and {x.component_id for x in got} == {0}
 
 
+def linked_by_brute_force(rows, cosine=0.9):
+    """(links, component) of each id and what each row shows, every two rows compared."""
+    sound = [(i, np.array(v, float)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v)]
+    near = collections.defaultdict(set)
+    for i, x in sound:
+        for j, y in sound:
+            if i != j and len(x) == len(y) and x @ y >= cosine * np.linalg.norm(x) * np.linalg.norm(y) - 1e-12:
+                near[i].add(j)
+    least = {i: i for i, _ in sound}
+    for _ in sound:
+        for i in least:
+            least[i] = min([least[i], *(least[j] for j in near[i])])
+    good = {id(v) for i, v in rows if i in least and v and None not in v and np.isfinite(v).all() and any(v)}
+    return collections.Counter((i, len(near[i]), least[i], i == least[i]) if i is not None and id(v) in good else (i, 0, i, True) for i, v in rows)
+
+
+def test_embeddings_that_share_an_id(spark):
+    e1, e2, e3, e4 = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.1, 1.0], [0.1, 0.0, 1.0]
+    for rows in (
+        [(1, e1), (1, list(e1)), (2, list(e1)), (3, e2), (3, list(e1)), (4, list(e2))],
+        [(9, e1), (3, e2), (3, e3), (5, e4), (6, list(e4)), (7, list(e2)), (None, list(e2)), (7, None), (8, [0.0] * 3), (8, list(e3)), (2, [0.99, 0.05, 0.0])],
+    ):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = collections.Counter(tuple(x) for x in embedding_dedup.near_duplicates(df).collect())
+        assert got == linked_by_brute_force(rows)
+
+
+def test_embedding_recall(spark):
+    r = np.random.default_rng(7)
+    base = r.standard_normal((2_500, 64))
+    other = r.standard_normal((2_500, 64))
+    other -= (other * base).sum(1, keepdims=True) / (base * base).sum(1, keepdims=True) * base
+    other *= np.linalg.norm(base, axis=1, keepdims=True) / np.linalg.norm(other, axis=1, keepdims=True)
+    at = r.uniform(0.9005, 0.93, (2_500, 1))  # the hardest cosines
+    v = np.concatenate((base, at * base + np.sqrt(1 - at * at) * other))
+    df = spark.createDataFrame([(i, [float(x) for x in y]) for i, y in enumerate(v)], "vec_id long, embedding array<double>")
+    got = embedding_dedup.near_duplicates(df).toPandas()
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    links = int((unit @ unit.T >= 0.9).sum()) - len(v)
+    assert links >= 5_000 and 0.9 * links <= got["n_links"].sum() <= links
+
+
 def tokens(text):
     from tokenizers import Tokenizer
 
