@@ -150,8 +150,8 @@ def fitting(q: np.ndarray, node: np.ndarray, counts: np.ndarray, sizes: np.ndarr
     return q[fits], node[fits], bound[fits]
 
 
-def bucket_pairs(starts: np.ndarray, ends: np.ndarray, second: np.ndarray, counts: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, bound) of the rows that may be similar inside each group of rows; each group's tree holds the rows from ``second`` on, asked for by those before, or by all if there are none."""
+def bucket_pairs(starts: np.ndarray, ends: np.ndarray, second: np.ndarray, parts: np.ndarray, counts: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, bound) of the rows of different ``parts`` that may be similar inside each group of rows; each group's tree holds the rows from ``second`` on, asked for by those before, or by all if there are none."""
     found = []
     lone = second == starts
     # groups of a single leaf need no tree: their pairs are compared together
@@ -159,14 +159,14 @@ def bucket_pairs(starts: np.ndarray, ends: np.ndarray, second: np.ndarray, count
     n = (ends - starts)[small]
     i = np.concatenate([np.zeros(0, np.int64), *(np.repeat(np.arange(a, b), b - a) for a, b in zip(starts[small], ends[small], strict=True))])
     j = np.concatenate([np.zeros(0, np.int64), *(np.tile(np.arange(a, b), b - a) for a, b in zip(starts[small], ends[small], strict=True))]) if len(n) else i
-    fits = i < j
+    fits = (i < j) & (parts[i] != parts[j])
     found.append(fitting(i[fits], j[fits], counts, sizes, counts, sizes, sizes, percent))
     for a, b, c, own in zip(starts[~small], ends[~small], second[~small], lone[~small], strict=True):
         tree = CountTree(counts[c:b], sizes[c:b])
         to = b if own else c
         q, p, bound = tree.search(counts[a:to], sizes[a:to], percent)
         q, p = q + a, p + c
-        fits = q < p  # rows of a first chunk all stand before those of the second
+        fits = (q < p) & (parts[q] != parts[p])  # rows of a first chunk all stand before those of the second
         found.append((q[fits], p[fits], bound[fits]))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
@@ -203,9 +203,7 @@ def tree_pairs(members: DataFrame, percent: int, best: bool) -> DataFrame:
             other = (b["own"] != b["c1"]).to_numpy()
             of_first = np.add.reduceat(~other, starts)
             second = np.where((b["c1"] == b["c2"]).to_numpy()[starts], starts, starts + of_first)
-            i, j, bound = bucket_pairs(starts, ends, second, counts, sizes, percent)
-            fits = parts[i] != parts[j]
-            i, j, bound = i[fits], j[fits], bound[fits]
+            i, j, bound = bucket_pairs(starts, ends, second, parts, counts, sizes, percent)
             if best and len(i):
                 likely = bound / (sizes[i] + sizes[j])
                 q, p, likely = np.concatenate((i, j)), np.concatenate((j, i)), np.tile(likely, 2)
@@ -215,14 +213,28 @@ def tree_pairs(members: DataFrame, percent: int, best: bool) -> DataFrame:
             pairs = np.unique(np.sort(np.stack((ids[i], ids[j]), 1), axis=1), axis=0)
             yield pd.DataFrame(pairs, columns=["a", "b"])
 
-    # a bucket larger than a chunk is dealt as all its pairs of chunks
-    chunks = members.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")).filter("chunks > 1")
-    dealt = members.join(chunks, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.withColumns({"c1": F.least("own", "other"), "c2": F.greatest("own", "other")})
-    dealt = dealt.select(*group, "own", "cid", "component", "n", "counts").repartition(*group).sortWithinPartitions(*group, "own")
-    return dealt.mapInPandas(search, "a long, b long").distinct()
+    return dealt(members).sortWithinPartitions(*group, "own").mapInPandas(search, "a long, b long").distinct()
+
+
+def dealt(members: DataFrame) -> DataFrame:
+    """The members by the pair of chunks ``key, c1, c2`` in which they are joined; ``own`` is the member's chunk.
+
+    Only pairs across components count, so a bucket beyond ``CHUNK`` is cut into
+    the chunks of its fullest component, which meet those of all others but not
+    each other, and the chunks of the others, of which every two meet.  A large
+    group of near copies, all but a few linked, is dealt about once.
+    """
+    sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("top"))
+    large = sizes.filter(F.col("all") > CHUNK).select("key", F.col("top.component").alias("top"), F.ceil((F.col("all") - F.col("top.n")) / CHUNK).cast("int").alias("rest"), F.ceil(F.col("top.n") / CHUNK).cast("int").alias("tops"))
+    placed = members.join(large, "key", "left")
+    on_top, chance = F.col("component") == F.col("top"), F.xxhash64("cid")
+    own = F.when(F.col("top").isNull(), 0).when(on_top, F.col("rest") + F.pmod(chance, F.col("tops"))).otherwise(F.pmod(chance, F.col("rest"))).cast("int")
+    meets = F.when(F.col("top").isNull(), 1).when(on_top, F.col("rest")).otherwise(F.col("rest") + F.col("tops"))
+    placed = placed.withColumns({"own": own, "meets": meets.cast("int")}).filter("meets > 0")
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("meets") - 1)))
+    placed = placed.withColumns({"c1": F.least("own", "other"), "c2": F.greatest("own", "other")})
+    return placed.select("key", "c1", "c2", "own", "cid", "component", "n", "counts").repartition("key", "c1", "c2")
 
 
 def shared_at_most(x: bytes, y: bytes) -> int:

@@ -153,7 +153,7 @@ def test_trees_and_leaves_find_the_same(monkeypatch, leaf):
     counts = counts[r.permutation(120)]
     sizes = counts.sum(1, dtype=np.int64)
     # two groups, the second one of two chunks
-    i, j, bound = ngram_join.bucket_pairs(np.array([0, 50]), np.array([50, 120]), np.array([0, 80]), counts, sizes, 85)
+    i, j, bound = ngram_join.bucket_pairs(np.array([0, 50]), np.array([50, 120]), np.array([0, 80]), np.arange(120), counts, sizes, 85)
     want = set()
     for a in range(120):
         for b in range(a + 1, 120):
@@ -174,6 +174,10 @@ def test_buckets_cut_into_chunks_lose_nothing(spark, monkeypatch):
     whole = {tuple(x) for x in ngram_join.tree_pairs(members, 85, False).collect()}
     monkeypatch.setattr(ngram_join, "CHUNK", 7)
     assert {(i, i + 30) for i in range(30)} <= whole == {tuple(x) for x in ngram_join.tree_pairs(members, 85, False).collect()}
+    # one component holds most
+    part = lambda i: 0 if i < 55 else i
+    members = spark.createDataFrame([(k, i, part(i), n, raw) for k, i, _, n, raw in rows], members.schema)
+    assert {tuple(x) for x in ngram_join.tree_pairs(members, 85, False).collect()} == {(i, j) for i, j in whole if part(i) != part(j)}
 
 
 def test_ngram_join_of_repeated_ids(spark):
