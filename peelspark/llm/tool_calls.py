@@ -2,144 +2,113 @@
 
 A turn is plain text or holds JSON: an assistant's ``tool_calls`` (each with an
 id, a name and arguments), a result (``tool_call_id`` and ``content``), or a
-system turn's ``tools`` (name and parameter schema).  Turns become events;
-results are hash-joined to calls by conversation and identifier, calls to
-schemas by conversation and name.  An event's place is (anchor, step, turn,
-idx): a result is anchored at the call's turn one step after it, so sorting by
-place is a topological order (turns in sequence, a result never before its
+system turn's ``tools`` (name and parameter schema).  Turns become events, parsed
+once and kept; results are hash-joined to calls by conversation and identifier,
+calls to schemas by conversation and name.  An event's place is (anchor, step,
+turn, idx): a result is anchored at the call's turn one step after it, so sorting
+by place is a topological order (turns in sequence, a result never before its
 call) and no conversation has to be gathered.  Arguments are validated against
 the schema, and each event is serialised as canonical JSON: keys sorted, no
-spaces, numbers and strings in JSON's own form.
+spaces, numbers and strings in JSON's own form, lone surrogates escaped.
 
 Defined results: of calls that share an identifier the earliest counts, the
 others are ``repeated``; a result without a call is an ``orphan`` at its own
 turn; a call without a result is ``unanswered``; a call without a schema isn't
-validated (null).  Null or empty text is an empty message; text that is not
-JSON, or JSON of another form, is a message as it stands; nulls in the ids
-keep a row from linking.  Repeated rows each give their events.
+validated (null).  Identifiers and names that aren't strings are compared by
+their canonical JSON.  Keys of a turn, a call or a result that the format doesn't
+know are kept, and so are entries of ``tool_calls`` that aren't objects, in the
+turn's message.  Null or empty text is an empty message; text that is not JSON
+(NaN, Infinity, numbers beyond doubles and values nested too deeply are none), or
+JSON of another form, is a message as it stands; nulls in the ids keep a row from
+linking.  Repeated rows each give their events; an empty table gives none; extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-EVENTS = "conv_id long, turn long, idx int, role string, kind string, call_id string, name string, body string"
+from ..store import keep
+from .json_schema import canonical, escaped, parse, problems
+
+EVENT = "array<struct<idx:int,kind:string,call_id:string,name:string,body:string,json:string>>"
+
 
+def _parsed(text: str):
+    """The value of JSON text, other text as it stands."""
+    try:
+        return parse(text)
+    except ValueError:
+        return text
 
-def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
+def _label(x) -> str | None:
+    return None if x is None else escaped(x) if isinstance(x, str) else canonical(x)
 
-def _function(x: dict) -> tuple[str, object]:
-    """Name and arguments of a call or a tool, with or without a ``function`` wrapper."""
-    f = x.get("function") if isinstance(x.get("function"), dict) else x
+
+def _function(x: dict) -> tuple[str, object, dict]:
+    """Name, arguments and other keys of a call or a tool, with or without a ``function`` wrapper."""
+    wrapped = isinstance(x.get("function"), dict)
+    f = x["function"] if wrapped else x
     args = f.get("arguments", f.get("parameters", {}))
-    if isinstance(args, str):
-        try:
-            args = json.loads(args)
-        except ValueError:
-            pass
-    return str(f.get("name", "")), args
-
-
-def events(role: str | None, text: str | None) -> list[tuple[int, str, str | None, str | None, str]]:
-    """(idx, kind, call id, name, body) of a turn."""
-    got = None
-    if text and text.lstrip()[:1] == "{":
-        try:
-            got = json.loads(text)
-        except (ValueError, RecursionError):
-            got = None
+    rest = {k: v for k, v in f.items() if k not in ("name", "arguments", "parameters", "id")}
+    if wrapped:
+        rest = {k: v for k, v in x.items() if k not in ("function", "id", "name", "arguments")} | ({"function": rest} if rest else {})
+    return _label(f.get("name", "")) or "", _parsed(args) if isinstance(args, str) else args, rest
+
+
+def events(role: str | None, text: str | None) -> list[tuple[int, str, str | None, str | None, str | None, str]]:
+    """(idx, kind, call id, name, body, json) of a turn; the body is what is validated or validates."""
+    plain = [(0, "message", None, None, None, canonical({"content": text or "", "role": role}))]
+    got = _parsed(text) if text and text.lstrip()[:1] == "{" else None
     if not isinstance(got, dict):
-        return [(0, "message", None, None, canonical({"content": text or "", "role": role}))]
+        return plain
     if isinstance(got.get("tools"), list):
         schemas = [_function(t) for t in got["tools"] if isinstance(t, dict)]
-        return [(0, "message", None, None, canonical(got | {"role": role})), *((i + 1, "schema", None, n, canonical(s)) for i, (n, s) in enumerate(schemas))]
+        return [(0, "message", None, None, None, canonical(got | {"role": role})), *((i + 1, "schema", None, n, canonical(s), "") for i, (n, s, _) in enumerate(schemas))]
     if isinstance(got.get("tool_calls"), list):
-        out = [(0, "message", None, None, canonical({"content": got.get("content") or "", "role": role}))]
+        other = [x for x in got["tool_calls"] if not isinstance(x, dict)]
+        message = {k: v for k, v in got.items() if k != "tool_calls"} | {"content": got.get("content") or "", "role": role} | ({"tool_calls": other} if other else {})
+        out = [(0, "message", None, None, None, canonical(message))]
         for i, c in enumerate(x for x in got["tool_calls"] if isinstance(x, dict)):
-            name, args = _function(c)
-            out.append((i + 1, "call", None if c.get("id") is None else str(c["id"]), name, canonical(args)))
+            name, args, rest = _function(c)
+            whole = rest | {"arguments": args, "id": c.get("id") if c.get("id") is not None else "", "name": name}
+            out.append((i + 1, "call", _label(c.get("id")), name, canonical(args), canonical(whole)))
         return out
     if got.get("tool_call_id") is not None:
-        return [(0, "result", str(got["tool_call_id"]), None, canonical(got.get("content")))]
-    return [(0, "message", None, None, canonical({"content": text, "role": role}))]
-
-
-_TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
-
-
-def problems(value, schema, at: str = "$") -> list[str]:
-    """What breaks a JSON schema (type, enum, required, properties, additionalProperties, items, bounds, lengths)."""
-    if not isinstance(schema, dict):
-        return []
-    out = []
-    kinds = schema.get("type")
-    if kinds is not None:
-        number = isinstance(value, (int, float)) and not isinstance(value, bool)
-        is_a = lambda k: (number and (k == "number" or float(value).is_integer())) if k in ("number", "integer") else isinstance(value, _TYPES.get(k, object))
-        if not any(is_a(k) for k in (kinds if isinstance(kinds, list) else [kinds])):
-            return [f"{at}: not {kinds if isinstance(kinds, str) else '|'.join(kinds)}"]
-    if "enum" in schema and value not in schema["enum"]:
-        out.append(f"{at}: not in enum")
-    if isinstance(value, dict):
-        known = schema.get("properties") or {}
-        out += [f"{at}.{k}: missing" for k in schema.get("required") or [] if k not in value]
-        for k, v in value.items():
-            if k in known:
-                out += problems(v, known[k], f"{at}.{k}")
-            elif schema.get("additionalProperties") is False:
-                out.append(f"{at}.{k}: unknown")
-    if isinstance(value, list) and "items" in schema:
-        for i, v in enumerate(value):
-            out += problems(v, schema["items"], f"{at}[{i}]")
-    if isinstance(value, (int, float)) and not isinstance(value, bool):
-        out += [f"{at}: below minimum"] * (value < schema.get("minimum", value)) + [f"{at}: above maximum"] * (value > schema.get("maximum", value))
-    if isinstance(value, str):
-        out += [f"{at}: too short"] * (len(value) < schema.get("minLength", 0)) + [f"{at}: too long"] * (len(value) > schema.get("maxLength", len(value)))
-    return out
+        whole = {k: v for k, v in got.items() if k != "tool_call_id"} | {"content": got.get("content"), "id": got["tool_call_id"], "role": "tool"}
+        return [(0, "result", _label(got["tool_call_id"]), None, None, canonical(whole))]
+    return plain
 
 
 def link(turns: DataFrame) -> DataFrame:
     """``conv_id, anchor, step, turn, idx, kind, status, problems, json`` of every event of ``turns(conv_id, turn, role, text)``."""
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(c, t, i, r, k, call, name, body) for c, t, r, x in zip(b["conv_id"], b["turn"], b["role"], b["text"], strict=True) for i, k, call, name, body in events(r, x)]
-            yield pd.DataFrame(rows, columns=["conv_id", "turn", "idx", "role", "kind", "call_id", "name", "body"]).astype({"conv_id": "Int64", "turn": "Int64"})
+    def read(roles: pd.Series, texts: pd.Series) -> pd.Series:
+        names = ("idx", "kind", "call_id", "name", "body", "json")
+        return pd.Series([[dict(zip(names, e, strict=True)) for e in events(r, t)] for r, t in zip(roles, texts, strict=True)], dtype=object)
 
-    all_ = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").mapInPandas(parse, EVENTS)
+    read.__annotations__ = {"roles": pd.Series, "texts": pd.Series, "return": pd.Series}
+    parsed = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.explode(F.pandas_udf(read, EVENT)("role", "text")).alias("e"))
+    all_ = keep(parsed.select("conv_id", "turn", "e.*"), "events")
     calls, results = all_.filter("kind = 'call'"), all_.filter("kind = 'result'")
     schemas = all_.filter("kind = 'schema'").groupBy("conv_id", "name").agg(F.min_by("body", F.struct("turn", "idx")).alias("schema"))
     first = calls.filter("call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "idx")).alias("at"))
     answered = results.select("conv_id", "call_id").distinct().withColumn("answered", F.lit(True))
 
     def check(bodies: pd.Series, schema: pd.Series) -> pd.Series:
-        return pd.Series([None if s is None else problems(json.loads(b), json.loads(s)) for b, s in zip(bodies, schema, strict=True)], dtype=object)
+        return pd.Series([None if s is None else problems(parse(b), parse(s)) for b, s in zip(bodies, schema, strict=True)], dtype=object)
 
     check.__annotations__ = {"bodies": pd.Series, "schema": pd.Series, "return": pd.Series}
     checked = calls.join(schemas, ["conv_id", "name"], "left").withColumn("problems", F.pandas_udf(check, "array<string>")("body", "schema"))
     linked = checked.join(first, ["conv_id", "call_id"], "left").join(answered, ["conv_id", "call_id"], "left")
-    own = F.struct("turn", "idx") == F.col("at")
-    status = F.when(F.col("at").isNotNull() & ~own, "repeated").when(F.col("answered"), "answered").otherwise("unanswered")
-    out = linked.select("conv_id", F.col("turn").alias("anchor"), F.lit(1).alias("step"), "turn", "idx", "kind", "call_id", "name", "body", status.alias("status"), "problems")
+    place = lambda anchor, step, idx, status, problems: ("conv_id", anchor.alias("anchor"), step.cast("int").alias("step"), "turn", idx.cast("int").alias("idx"), "kind", status.alias("status"), problems.alias("problems"), "json")
+    none, turn, idx, found = F.lit(None).cast("array<string>"), F.col("turn"), F.col("idx"), F.col("at").isNotNull()
+    status = F.when(found & (F.struct("turn", "idx") != F.col("at")), "repeated").when(F.col("answered"), "answered").otherwise("unanswered")
+    out = linked.select(*place(turn, F.lit(1), idx, status, F.col("problems")))
     placed = results.join(first, ["conv_id", "call_id"], "left")
-    found = F.col("at").isNotNull()
-    placed = placed.select("conv_id", F.when(found, F.col("at.turn")).otherwise(F.col("turn")).alias("anchor"), F.when(found, 2).otherwise(0).alias("step"), "turn", F.when(found, F.col("at.idx")).otherwise(0).alias("idx"), "kind", "call_id", "name", "body", F.when(found, "linked").otherwise("orphan").alias("status"), F.lit(None).cast("array<string>").alias("problems"))
-    plain = all_.filter("kind = 'message'").select("conv_id", F.col("turn").alias("anchor"), F.lit(0).alias("step"), "turn", "idx", "kind", "call_id", "name", "body", F.lit("plain").alias("status"), F.lit(None).cast("array<string>").alias("problems"))
-    text = F.when(F.col("kind") == "message", F.col("body")).otherwise(
-        F.concat(
-            F.lit("{"),
-            F.when(F.col("kind") == "call", F.concat(F.lit('"arguments":'), "body")).otherwise(F.concat(F.lit('"content":'), "body")),
-            F.lit(","),
-            F.regexp_extract(F.to_json(F.struct(F.coalesce("call_id", F.lit("")).alias("id"))), r"^\{(.*)\}$", 1),
-            F.when(F.col("kind") == "call", F.concat(F.lit(","), F.regexp_extract(F.to_json(F.struct(F.coalesce("name", F.lit("")).alias("name"))), r"^\{(.*)\}$", 1))).otherwise(F.lit(',"role":"tool"')),
-            F.lit("}"),
-        )
-    )
-    return plain.unionByName(out).unionByName(placed).withColumn("json", text).drop("body", "call_id", "name")
+    placed = placed.select(*place(F.when(found, F.col("at.turn")).otherwise(turn), F.when(found, 2).otherwise(0), F.when(found, F.col("at.idx")).otherwise(0), F.when(found, "linked").otherwise("orphan"), none))
+    plain = all_.filter("kind = 'message'").select(*place(turn, F.lit(0), idx, F.lit("plain"), none))
+    return plain.unionByName(out).unionByName(placed)

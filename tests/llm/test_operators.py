@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from peelspark.llm import decontamination, embedding_dedup, langid, line_dedup, ngram_join, packing, pii, queries, stages, token_count, tool_calls, toxicity
+from peelspark.llm import decontamination, embedding_dedup, json_schema, langid, line_dedup, ngram_join, packing, pii, queries, stages, token_count, tool_calls, toxicity
 
 P = pytest.importorskip("public_tokenizers")
 WORDS = "the of and river stone light under open small house garden winter paper letter window morning silver road music table".split()
@@ -479,11 +479,107 @@ def test_tool_calls(spark):
     one = sorted((r for r in rows if r.conv_id == 1), key=lambda r: (r.anchor, r.step, r.turn, r.idx))
     assert [(r.kind, r.status) for r in one] == [("message", "plain"), ("message", "plain"), ("call", "answered"), ("call", "unanswered"), ("result", "linked"), ("message", "plain"), ("result", "orphan")]
     assert one[2].problems == [] and one[3].problems == ["$.city: missing", "$.days: below minimum"]
-    assert json.loads(one[2].json) == {"arguments": {"city": "Rome"}, "id": "a", "name": "weather"} and one[2].json == tool_calls.canonical(json.loads(one[2].json))
+    assert json.loads(one[2].json) == {"arguments": {"city": "Rome"}, "id": "a", "name": "weather"} and one[2].json == json_schema.canonical(json.loads(one[2].json))
     assert sorted(r.status for r in rows if r.conv_id == 2 and r.kind == "call") == ["repeated", "unanswered"]
     assert tool_calls.link(df.limit(0)).count() == 0
 
 
+ODD_TURNS = [
+    '{"tool_call_id":"a","content":"\\ud800"}',
+    '{"tool_call_id":"\\udc00","content":1}',
+    '{"tool_call_id":{"x":[1]},"content":NaN}',
+    '{"tool_call_id":"n","content":NaN}',
+    '{"tool_call_id":"i","content":1e999}',
+    '{"tool_call_id":"b","content":' + "9" * 400 + "}",
+    '{"tool_call_id":"b","content":' + "9" * 6000 + "}",
+    '{"tool_calls":[{"id":"c","name":"f","arguments":' + "[" * 20_000 + "]" * 20_000 + "}]}",
+    '{"tool_calls":[1,null,"x",{"id":null},{},{"id":5,"name":7,"arguments":"no json"},{"id":"d","type":"function","function":{"name":"f","arguments":"{}","strict":true}}],"reason":"why"}',
+    '{"tools":[1,{"name":null,"parameters":[]},{"name":"f","parameters":{"required":true,"enum":3,"properties":[],"minimum":"3","type":{"a":1},"pattern":"("}}]}',
+    '{"tools":{"a":1},"tool_calls":"x"}',
+    "{", "[1]", "null", '"text"', "{}", "\ufeff{}", "x" * 100_000,
+]
+
+
+def test_odd_turns_never_end_the_job(spark):
+    rows = [(1, i, "assistant", t) for i, t in enumerate(ODD_TURNS)] + [(1, None, None, None), (None, 3, "tool", ODD_TURNS[0])]
+    got = tool_calls.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    of = collections.defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.turn is None, r.turn, r.idx)):
+        json.loads(r.json, parse_constant=lambda c: 1 / 0)
+        of[r.turn if r.conv_id else "lone"].append(r)
+    assert of["lone"][0].status == "orphan" and of[0][0].json == '{"content":"\\ud800","id":"a","role":"tool"}'
+    assert [of[i][0].kind for i in range(8)] == ["result", "result", "message", "message", "message", "result", "message", "message"]
+    assert [(r.kind, json.loads(r.json)) for r in of[8]] == [
+        ("message", {"content": "", "reason": "why", "role": "assistant", "tool_calls": [1, None, "x"]}),
+        ("call", {"arguments": {}, "id": "", "name": ""}),
+        ("call", {"arguments": {}, "id": "", "name": ""}),
+        ("call", {"arguments": "no json", "id": 5, "name": "7"}),
+        ("call", {"arguments": {}, "function": {"strict": True}, "id": "d", "name": "f", "type": "function"}),
+    ]
+    assert of[8][4].problems == [] and all(len(of[i]) == 1 for i in of if i != 8)
+
+
+def test_schema_keywords():
+    p = json_schema.problems
+    assert p(True, {"enum": [1]}) and not p(1.0, {"enum": [1]}) and p(3, {"const": 4}) and p("ab", {"pattern": "^b"}) and not p("ab", {"pattern": "b$"})
+    assert p(3, {"exclusiveMinimum": 3}) == ["$: not above minimum"] and p(10**400, {"type": "string"}) and not p(10**400, {"type": "integer", "minimum": 1})
+    assert p(1, {"oneOf": [{"type": "integer"}, {"minimum": 0}]}) and not p(-1, {"oneOf": [{"type": "integer"}, {"minimum": 0}]})
+    assert p([1, 1.0], {"uniqueItems": True}) and p({"a": 1}, {"additionalProperties": {"type": "string"}}) == ["$.a: not string"]
+    assert p({"a": {"a": {"a": 1}}}, {"properties": {"a": {"$ref": "#"}}, "type": "object"}) == ["$.a.a.a: not object"]
+    assert p(1, {"$ref": "#"}) == ["$: nested too deeply"] and p(1, False) and not p(1, True) and p(5, {"not": {"type": "integer"}}) and p(7, {"multipleOf": 2})
+    assert p("a" * 40 + "!", {"pattern": "^(a+)+$"}) in (["$: not of the pattern"], ["$: pattern not decided"])
+
+
+def test_any_json_is_judged():
+    r = random.Random(5)
+    words = ["type", "enum", "required", "properties", "items", "minimum", "maxLength", "pattern", "oneOf", "not", "const", "$ref", "additionalProperties", "a", "tools", "tool_calls", "tool_call_id", "id", "name", "function", "arguments", "content"]
+
+    def value(depth):
+        kind = r.randrange(9 if depth else 6)
+        if kind < 6:
+            return (None, True, r.choice([0, -1, 10**30]), r.random(), r.choice(words), r.choice(["object", "integer", "#/a", "\ud800", "é"]))[kind]
+        return [value(depth - 1) for _ in range(r.randrange(4))] if kind == 6 else {r.choice(words): value(depth - 1) for _ in range(r.randrange(5))}
+
+    for _ in range(5000):
+        assert all(isinstance(x, str) for x in json_schema.problems(value(3), value(4)))
+        for e in tool_calls.events(r.choice([None, "tool"]), json.dumps(value(4))):
+            assert all(x is None or isinstance(x, int) or x.encode() is not None for x in e)
+
+
+def linked_by_hand(turns):
+    """Status and place of every event, each conversation looked through as a list."""
+    out = []
+    by = collections.defaultdict(list)
+    for c, t, r, x in turns:
+        by[c].append((t, r, x))
+    for c, rows in by.items():
+        all_ = sorted((t, e) for t, r, x in rows for e in [(i, k, call, name, body, js) for i, k, call, name, body, js in tool_calls.events(r, x)])
+        for t, (i, kind, call, name, body, js) in all_:
+            same = [(u, e[0]) for u, e in all_ if e[1] == "call" and e[2] == call]
+            if kind == "message":
+                out.append((c, t, 0, t, i, "plain", None, js))
+            elif kind == "call":
+                schemas = [e[4] for _, e in all_ if e[1] == "schema" and e[3] == name]
+                status = "repeated" if call is not None and min(same) != (t, i) else "answered" if any(e[1] == "result" and e[2] == call for _, e in all_) and call is not None else "unanswered"
+                out.append((c, t, 1, t, i, status, json_schema.problems(json.loads(body), json.loads(schemas[0])) if schemas else None, js))
+            elif kind == "result":
+                out.append((c, min(same)[0], 2, t, min(same)[1], "linked", None, js) if same else (c, t, 0, t, 0, "orphan", None, js))
+    return out
+
+
+def test_linking_against_lists(spark):
+    r = random.Random(6)
+    turns = []
+    for c in range(60):
+        for t in range(r.randint(2, 9)):
+            calls = [{"id": r.choice("abcd"), "function": {"name": r.choice("fg"), "arguments": json.dumps({"n": r.choice([1, "x", 2.5])})}} for _ in range(r.randint(1, 3))]
+            turns.append((c, t, *r.choice([("user", f"text {t}"), ("assistant", json.dumps({"tool_calls": calls})), ("tool", json.dumps({"tool_call_id": r.choice("abcde"), "content": t})), ("system", json.dumps({"tools": [{"name": r.choice("fg"), "parameters": {"properties": {"n": {"type": r.choice(["integer", "string"])}}}}]}))])))
+    got = tool_calls.link(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(5)).collect()
+    key = lambda rows: sorted(map(str, rows))
+    assert key((x.conv_id, x.anchor, x.step, x.turn, x.idx, x.status, x.problems, x.json) for x in got) == key(linked_by_hand(turns))
+    assert {x.status for x in got} == {"plain", "answered", "unanswered", "repeated", "linked", "orphan"}
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     bench = spark.createDataFrame([(1, corpus()[40][1])], "item_id long, text string")
     labels = spark.createDataFrame([(i, 1, int(i == 50)) for i in range(60)], "doc_id long, quality int, toxic int")
