@@ -12,6 +12,10 @@ from . import decontamination, embedding_dedup, langid, line_dedup, ngram_join,
 from ..store import table
 
 
+#: Session setting with the secret key of the surrogates; the fallback is for the test tables, which are public.
+PII_KEY = "spark.peelspark.pii.key"
+
+
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("row.doc_id", F.size("lines").cast("long").alias("n_lines"), F.size("dropped").cast("long").alias("n_dropped"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -38,7 +42,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pii.replace(table(spark, sf_dir, "documents"), key=b"surrogates of the public test tables")
+    key = spark.conf.get(PII_KEY, "surrogates of the public test tables")
+    out = pii.replace(table(spark, sf_dir, "documents"), key=key.encode())
     return out.select("row.doc_id", "n_entities", "kinds", F.col("text_out").alias("text"))
 
 
