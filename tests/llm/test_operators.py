@@ -499,11 +499,14 @@ def test_decontamination(spark):
     assert decontamination.contaminated(docs.limit(0), bench).count() == 0
 
 
-def test_decontamination_finds_short_items_in_a_full_block(spark):
+@pytest.mark.parametrize("group, block", [(1 << 20, 1 << 14), (1 << 20, 700), (2_000, 700)])
+def test_decontamination_finds_short_items_in_groups_and_blocks(spark, monkeypatch, group, block):
+    monkeypatch.setattr(decontamination, "GROUP", group)
+    monkeypatch.setattr(decontamination, "BLOCK", block)
     r = random.Random(9)
     vocabulary = ["".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(3)) for _ in range(3000)]
     text = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
-    items = [(i, text((1, 2, 3, 5, 8, 12, 20, 40)[i % 8])) for i in range(decontamination.BLOCK)]
+    items = [(i, text((1, 2, 3, 5, 8, 12, 20, 40)[i % 8])) for i in range(512 if block > 700 else 128)]
     rows = [(i, f"{text(45)} {t} {text(45)}") for i, t in items]
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {x.doc_id: x.item_ids for x in decontamination.contaminated(docs, bench).collect()}
