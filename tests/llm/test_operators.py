@@ -283,16 +283,38 @@ def test_packing(docs, spark):
     at = P.path
     more = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(200, "word " * 3000), (201, "a<|endoftext|>b")], "doc_id long, text string"))
     got = packing.pack(more, at("byte_bpe_50k.tiktoken"), at("byte_bpe_50k.json"), P.PATTERN).toPandas()
-    for i, t in [*corpus()[:70], (200, "word " * 3000), (201, "a<|endoftext|>b")]:
-        ids, own = tokens(t), got[got.doc_id == i].drop_duplicates("start").sort_values("start")
-        assert (own.doc_tokens == len(ids)).all() and own.length.sum() == len(ids)
+    rows = collections.Counter([*corpus(), (200, "word " * 3000), (201, "a<|endoftext|>b")])
+    for (i, t), times in rows.items():
+        ids, own = tokens(t), got[got.doc_id == i]
+        assert (own.doc_tokens == len(ids)).all() and own.length.sum() == times * len(ids)
+        held = collections.Counter(at for p in own.itertuples() for at in range(p.start, p.start + p.length))
+        assert held == dict.fromkeys(range(len(ids)), times)
         for p in own.itertuples():
             assert p.ids_crc32 == zlib.crc32(np.array(ids[p.start : p.start + p.length], "<u4").tobytes())
     by = got.sort_values(["sequence_id", "offset"])
     assert (by.offset == by.groupby("sequence_id").length.cumsum() - by.length).all() and by.groupby("sequence_id").length.sum().max() <= 1024
+    null = packing.pack(more.select(F.lit(None).cast("long").alias("doc_id"), "text"), at("byte_bpe_50k.tiktoken"), at("byte_bpe_50k.json"), P.PATTERN).toPandas()
+    assert null.doc_id.isna().all() and null.length.sum() == got.length.sum()
     assert packing.pack(empty(docs), at("byte_bpe_50k.tiktoken"), at("byte_bpe_50k.json"), P.PATTERN).count() == 0
 
 
+def test_material_fills_the_gaps():
+    r, window = random.Random(3), 64
+    levels = packing.Levels(window)
+    lengths = collections.Counter()
+    for _ in range(400):
+        size = r.randint(1, 63)
+        lengths[levels.place(size)[0]] += size
+    raw = [np.arange(1000 * i, 1000 * i + r.randint(1, 63), dtype="<u4").tobytes() for i in range(120)]
+    seen = []
+    for sequence, offset, row, start, ids in packing.filled(levels, packing.Material(raw)):
+        assert lengths[sequence] == offset and raw[row][4 * start : 4 * start + len(ids)] == ids and ids
+        lengths[sequence] += len(ids) // 4
+        seen.append(ids)
+    assert b"".join(seen) == b"".join(raw)
+    assert all(n == window or n & (n - 1) == 0 for n in lengths.values()) and list(packing.filled(packing.Levels(8), packing.Material([]))) == []
+
+
 def test_sum_of_squares_rule():
     r, window = random.Random(4), 12
     levels = packing.Levels(window)
