@@ -52,7 +52,7 @@ COUNT = np.dtype("<u2")
 #: A bucket with more members than this has its token moved behind all others.
 LARGE = 512
 #: Members of a chunk of a bucket that stays larger.
-CHUNK = 512
+CHUNK = 256
 #: Tokens that may be moved; they are sent to every executor (8 bytes each).
 MOVED = 1 << 20
 ROUNDS = 3
