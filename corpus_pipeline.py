@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from peelspark.llm import stages
-from peelspark.store import keep, table
+from peelspark.store import drop, keep, scratch, table
 
 #: Each function takes (spark, docs, sf_dir); all but the last return the columns of documents.
 STAGES = [
@@ -24,5 +24,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pieces of the documents that pass every stage."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        read = docs
+        with scratch(spark) as stay:  # what a stage keeps besides its result goes when that is written
+            docs = keep(stage(spark, read, sf_dir), f"stage-{name}")
+            stay.append(docs)
+        if name != STAGES[0][0]:
+            drop(read)
     return docs
