@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import derived, drilldown, files, iterative, relational  # noqa: F401  they register themselves
+from .queries import derived, drilldown, files, iterative, lookups, relational  # noqa: F401  they register themselves
 from .queries.base import ORACLES, QUERIES
 
 FLAGSHIP = "O-fixedpoint"

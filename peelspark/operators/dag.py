@@ -64,6 +64,27 @@ def regroup(nodes: DataFrame, links: DataFrame, group: str) -> tuple[DataFrame,
     return out, l.filter("g_src <> g_dst").groupBy(F.col("g_src").alias("src"), F.col("g_dst").alias("dst")).agg(F.sum("e").alias("e"), F.count("*").alias("meta_e"))
 
 
+def inside(nodes: DataFrame, links: DataFrame, group: str, values: list) -> tuple[DataFrame, DataFrame]:
+    """The nodes of some groups, and the links with both ends among them."""
+    own = nodes.filter(F.col(group).isin(values))
+    s, d = (own.select(F.col("node").alias(c)) for c in ("src", "dst"))
+    return own, links.join(s, "src", "left_semi").join(d, "dst", "left_semi")
+
+
+def top_source_links(arcs: DataFrame) -> DataFrame:
+    """The spanning links by top sources; our reading: every arc to the next level."""
+    return arcs.filter(F.col("lt") == F.col("ls") + 1).select("src", "dst")
+
+
+def chosen_form(nodes: DataFrame, links: DataFrame, limit: int = 8192) -> DataFrame:
+    """The links of the compressed form that is shown: by wcc, by windows of an edge cut, or by level."""
+    by_wcc, spans = regroup(nodes, links, "wcc")[1], links.count()
+    cut = edge_cut(nodes, links, limit)
+    by_window = regroup(cut, links, "cut")[1]
+    form = representation(by_wcc.limit(limit).count(), spans, by_window.limit(limit).count(), limit)
+    return {"wcc": by_wcc, "edge_cut": by_window, "wave": regroup(nodes, links, "level")[1]}[form]
+
+
 def edge_cut(nodes: DataFrame, links: DataFrame, limit: int = 8192) -> DataFrame:
     """Window of levels that each node is merged into, so that fewer than ``limit`` links join the windows (our own rule).
 
@@ -75,7 +96,7 @@ def edge_cut(nodes: DataFrame, links: DataFrame, limit: int = 8192) -> DataFrame
     width = 1
     while by_level.filter(F.floor(F.col("ls") / width) != F.floor(F.col("lt") / width)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] >= limit:
         width *= 2
-    return nodes.withColumn("window", F.floor(F.col("level") / width).cast("long"))
+    return nodes.withColumn("cut", F.floor(F.col("level") / width).cast("long"))
 
 
 def check_sizes(nodes: DataFrame, links: DataFrame, edges: DataFrame) -> DataFrame:

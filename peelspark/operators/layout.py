@@ -39,6 +39,26 @@ def color_factor(floors: DataFrame) -> DataFrame:
     return m.select("lcc", F.when(F.col("d") != 1, F.pow(F.col("d") / (F.col("d") - 1), 2.0)).alias("factor"))
 
 
+def speedometer(floors: DataFrame, buildings: DataFrame) -> DataFrame:
+    """``building, wave, opens, closes``: the arc of each floor on the building's dial, one after the other.
+
+    ``floors(building, wave, source, vertices, edges)`` and ``buildings(building,
+    mean_degree, layer)``.  A floor is as wide as the arc sine of its log edges per
+    log vertices and log sources, relative to the widest floor; all dials are scaled
+    alike, so that the fullest takes seven eighths of a circle.  A dial begins at
+    ``mean_degree / layer - 1`` half circles.
+    """
+    ratio = F.log(F.col("edges") + 1) / F.nullif(F.log(F.col("vertices") + 1) * F.log(F.col("source") + 1), F.lit(0.0))
+    ratios = floors.select("building", "wave", F.coalesce(ratio, F.lit(0.0)).alias("ratio"))
+    widest = ratios.agg(F.nullif(F.max("ratio"), F.lit(0.0)).alias("widest"))
+    shares = ratios.crossJoin(F.broadcast(widest)).select("building", "wave", F.asin(F.coalesce(F.col("ratio") / F.col("widest"), F.lit(0.0))).alias("share"))
+    fullest = shares.groupBy("building").agg(F.sum("share").alias("s")).agg(F.nullif(F.max("s"), F.lit(0.0)).alias("fullest"))
+    width = F.coalesce(F.col("share") * (math.pi * 7 / 4) / F.col("fullest"), F.lit(0.0))
+    wide = shares.crossJoin(F.broadcast(fullest)).withColumn("width", width).join(buildings, "building")
+    closes = (F.col("mean_degree") / F.col("layer") - 1) * math.pi + F.sum("width").over(Window.partitionBy("building").orderBy("wave").rowsBetween(Window.unboundedPreceding, 0))
+    return wide.select("building", "wave", (closes - F.col("width")).alias("opens"), closes.alias("closes"))
+
+
 def bush(waves: DataFrame) -> DataFrame:
     """Branch length, width and the height below it, by wave."""
     out = waves.withColumns({"length": F.log2(F.col("ie") + F.col("ee") + 1), "width": F.sqrt(F.log2(F.col("s") + 1)), "branches": F.ceil(F.log2(F.col("t") + 1)).cast("long")})

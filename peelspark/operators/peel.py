@@ -27,6 +27,7 @@ LOCAL = 2_000_000
 
 def _by_component(edges: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Edges with their component, of small and of large components; ``keys`` are kept apart."""
+    edges = keep(edges, "edges")
     if keys:
         tag = lambda c: F.struct(*(F.col(k) for k in keys), F.col(c).alias("vertex"))
         parts = connected_components(edges.select(tag("src").alias("u"), tag("dst").alias("v")))
@@ -34,67 +35,125 @@ def _by_component(edges: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFra
     else:
         parts = connected_components(edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))).select(F.col("id").alias("src"), "component")
     placed = keep(edges.join(parts, [*keys, "src"]), "placed")
+    drop(edges)
     sizes = placed.groupBy(*keys, "component").count()
     large = sizes.filter(F.col("count") > LOCAL).select(*keys, "component")
     on = [*keys, "component"]
     return placed.join(large, on, "left_anti"), placed.join(large, on, "left_semi")
 
 
+def _in_shards(small: DataFrame, on: list[str], peel: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``peel`` of the whole components that a shard holds: some ``LOCAL / 2`` edges, and a component more at most where one is large."""
+    shards = max(int(small.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-2 * small.count() // max(1, LOCAL)))
+    dealt = small.withColumn("shard", F.pmod(F.xxhash64(*on), F.lit(shards)))
+    return dealt.groupBy("shard").applyInPandas(lambda g: peel(g.drop(columns="shard")), schema)
+
+
 def _numbered(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids, at = np.unique(np.concatenate((g["src"].to_numpy(), g["dst"].to_numpy())), return_inverse=True)
     return ids, at[: len(g)], at[len(g) :]
 
 
+class Adjacency:
+    """Neighbours of each of ``n`` vertices, in one array."""
+
+    def __init__(self, u: np.ndarray, v: np.ndarray, n: int) -> None:
+        ends = np.concatenate((u, v))
+        order = np.argsort(ends, kind="stable")
+        self.n, self.ends, self.to = n, ends[order], np.concatenate((v, u))[order]
+        self._place()
+
+    def _place(self) -> None:
+        self.degree = np.bincount(self.ends, minlength=self.n)
+        self.start = np.concatenate(([0], np.cumsum(self.degree)[:-1]))
+
+    def less(self, gone: np.ndarray) -> None:
+        """Remove the entries (both ways of an edge) where ``gone``."""
+        self.ends, self.to = self.ends[~gone], self.to[~gone]
+        self._place()
+
+    def near(self, at: np.ndarray, degree: np.ndarray) -> np.ndarray:
+        """All neighbours of ``at``, with repeats."""
+        if len(at) == 1:
+            first = self.start[at[0]]
+            return self.to[first : first + degree[at[0]]]
+        n = degree[at]
+        return self.to[np.repeat(self.start[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+
+def _once(x: np.ndarray) -> np.ndarray:
+    return x if len(x) < 2 else np.unique(x)
+
+
+def peeled(adj: Adjacency) -> np.ndarray:
+    """Coreness of each vertex, 0 without edges; the work is proportional to the edges.
+
+    Each step removes the vertices that the threshold no longer holds and looks
+    at their neighbours alone; a look at all vertices left comes with each value.
+    """
+    degree, core, alive = adj.degree.copy(), np.zeros(adj.n, np.int64), adj.degree > 0
+    left, k = np.flatnonzero(alive), 0
+    while len(left):
+        now = degree[left]
+        k = max(k, int(now.min()))
+        out = left[now <= k]
+        while len(out):
+            alive[out], core[out] = False, k
+            near = adj.near(out, adj.degree)
+            near = near[alive[near]]
+            np.subtract.at(degree, near, 1)
+            out = _once(near[degree[near] <= k])
+        left = left[alive[left]]
+    return core
+
+
 def local_coreness(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
     """Coreness of each of ``n`` vertices; 0 without edges."""
-    core, k = np.zeros(n, np.int64), 0
-    while len(u):
-        degree = np.bincount(u, minlength=n) + np.bincount(v, minlength=n)
-        k = max(k, int(degree[degree > 0].min()))
-        while True:
-            weak = (degree > 0) & (degree <= k)
-            if not weak.any():
-                break
-            core[weak] = k
-            stay = ~(weak[u] | weak[v])
-            u, v = u[stay], v[stay]
-            degree = np.bincount(u, minlength=n) + np.bincount(v, minlength=n)
-            # what lost all its edges with a weak neighbour goes as well
-            gone = (degree == 0) & (core == 0)
-            core[gone] = k
-    return core
+    return peeled(Adjacency(u, v, n))
 
 
 def local_layers(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
-    layer, left = np.zeros(len(u), np.int64), np.arange(len(u))
+    """The layer of each edge."""
+    adj, layer, left = Adjacency(u, v, n), np.zeros(len(u), np.int64), np.arange(len(u))
     while len(left):
-        core = local_coreness(u[left], v[left], n)
+        core = peeled(adj)
         k = core.max()
-        inside = (core[u[left]] == k) & (core[v[left]] == k)
+        inner = core == k
+        inside = inner[u[left]] & inner[v[left]]
         layer[left[inside]] = k
         left = left[~inside]
+        adj.less(inner[adj.ends] & inner[adj.to])
     return layer
 
 
 def local_waves(u: np.ndarray, v: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(wave, fragment) of each vertex; the threshold is ``k``, raised to the least degree left where a wave starts."""
+    adj = Adjacency(u, v, n)
+    degree, alive = adj.degree.copy(), np.ones(n, bool)
     wave, frag = np.full(n, -1), np.full(n, -1)
-    degree = np.bincount(u, minlength=n) + np.bincount(v, minlength=n)
-    left, w, f = np.ones(n, bool), 0, 0
-    threshold = k
-    while left.any():
-        if f == 0:
-            threshold = max(threshold, int(degree[left].min()))
-        out = left & (degree <= threshold if f == 0 else degree < threshold)
-        if not out.any():
-            w, f = w + 1, 0
-            continue
-        wave[out], frag[out], left = w, f, left & ~out
-        stay = left[u] & left[v]
-        u, v = u[stay], v[stay]
-        degree = np.bincount(u, minlength=n) + np.bincount(v, minlength=n)
-        f += 1
-    return wave, frag
+    left, threshold, w = np.arange(n), k, 0
+    out = left[:0]
+    while True:
+        if not len(out):  # nothing stands at the threshold: it rises
+            left = left[alive[left]]
+            if not len(left):
+                return wave, frag
+            now = degree[left]
+            threshold = max(threshold, int(now.min()))
+            out = left[now <= threshold]
+        f, touched = 0, []
+        while len(out):
+            wave[out], frag[out], alive[out] = w, f, False
+            near = adj.near(out, adj.degree)
+            near = near[alive[near]]
+            np.subtract.at(degree, near, 1)
+            # what is left stood above the threshold, so only neighbours can have fallen to it or below
+            now = degree[near]
+            touched.append(near[now == threshold])
+            out = _once(near[now < threshold])
+            f += 1
+        out = _once(np.concatenate(touched) if f > 1 else touched[0])
+        out, w = out[alive[out]], w + 1
 
 
 def coreness(edges: DataFrame) -> DataFrame:
@@ -105,7 +164,8 @@ def coreness(edges: DataFrame) -> DataFrame:
         ids, u, v = _numbered(g)
         return pd.DataFrame({"id": ids, "core": local_coreness(u, v, len(ids))})
 
-    out = small.groupBy("component").applyInPandas(peel, "id long, core long")
+    # components don't touch, so a shard is peeled as one graph
+    out = _in_shards(small, ["component"], peel, "id long, core long")
     return out if large.isEmpty() else out.unionByName(wide_coreness(large.select("src", "dst")))
 
 
@@ -136,7 +196,8 @@ def fixed_point_layers(edges: DataFrame) -> DataFrame:
         ids, u, v = _numbered(g)
         return g[["src", "dst"]].assign(layer=local_layers(u, v, len(ids)))
 
-    out = small.groupBy("component").applyInPandas(peel, "src long, dst long, layer long")
+    # a component's layers are the same whatever others are peeled with it
+    out = _in_shards(small, ["component"], peel, "src long, dst long, layer long")
     left = large.select("src", "dst")
     while not left.isEmpty():
         core = wide_coreness(left)
@@ -153,12 +214,18 @@ def waves(layered: DataFrame) -> DataFrame:
     small, large = _by_component(layered.select("layer", "src", "dst"), ["layer"])
 
     def peel(g: pd.DataFrame) -> pd.DataFrame:
-        ids, u, v = _numbered(g)
-        w, f = local_waves(u, v, len(ids), int(g["layer"].iloc[0]))
-        return pd.DataFrame({"layer": g["layer"].iloc[0], "id": ids, "wave": w, "frag": f})
+        # waves are counted inside each component
+        g = g.sort_values(["layer", "component"], ignore_index=True)
+        layer, part = g["layer"].to_numpy(), g["component"].to_numpy()
+        edge = np.flatnonzero((layer[1:] != layer[:-1]) | (part[1:] != part[:-1])) + 1
+        out = []
+        for a, b in zip(np.concatenate(([0], edge)), np.concatenate((edge, [len(g)])), strict=True):
+            ids, u, v = _numbered(g.iloc[a:b])
+            out.append((np.full(len(ids), layer[a]), ids, *local_waves(u, v, len(ids), int(layer[a]))))
+        return pd.DataFrame(dict(zip(("layer", "id", "wave", "frag"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     schema = "layer long, id long, wave long, frag long"
-    out = small.groupBy("layer", "component").applyInPandas(peel, schema)
+    out = _in_shards(small, ["layer", "component"], peel, schema)
     return out if large.isEmpty() else out.unionByName(wide_waves(large))
 
 
@@ -213,12 +280,11 @@ def iterative_waves(edges: DataFrame) -> DataFrame:
     return out if out is not None else left.withColumn("round", F.lit(0))
 
 
-def iterative_edges(edges: DataFrame, decompose: Callable[[DataFrame], DataFrame], rounds: int = 1_000) -> DataFrame:
+def iterative_edges(edges: DataFrame, decompose: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``src, dst, value``: edges inside the largest value of a vertex decomposition ``(id, value)`` take it and are removed."""
     left, out = keep(sanitize(edges), "left"), None
-    for _ in range(rounds):
-        if left.isEmpty():
-            break
+    # each round takes an edge at least
+    while not left.isEmpty():
         values = keep(decompose(left), "values")
         top = values.agg(F.max("value")).first()[0]
         most = values.filter(F.col("value") == top).select("id")

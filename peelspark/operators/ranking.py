@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -57,10 +58,11 @@ def level_rank(df: DataFrame, scope: list[str], keys: list[str], name: str = "le
 
 def log_top(df: DataFrame, scope: list[str], order: list, plus: int = 1) -> DataFrame:
     """The first ``ceil(log2(n + plus))`` rows of each scope of n rows."""
-    n = df.groupBy(*scope).agg(F.count("*").alias("_n")) if scope else df.agg(F.count("*").alias("_n"))
-    over = Window.partitionBy(*scope).orderBy(*order) if scope else Window.orderBy(*order)
-    with_n = df.join(n, scope) if scope else df.crossJoin(F.broadcast(n))
-    return with_n.withColumn("_r", F.row_number().over(over)).filter(F.col("_r") <= F.ceil(F.log2(F.col("_n") + plus))).drop("_n", "_r")
+    if not scope:  # few rows, so each partition keeps its own first ones
+        return df.orderBy(*order).limit(max(0, math.ceil(math.log2(max(1, df.count() + plus)))))
+    n = df.groupBy(*scope).agg(F.count("*").alias("_n"))
+    over = Window.partitionBy(*scope).orderBy(*order)
+    return df.join(n, scope).withColumn("_r", F.row_number().over(over)).filter(F.col("_r") <= F.ceil(F.log2(F.col("_n") + plus))).drop("_n", "_r")
 
 
 def top_by(df: DataFrame, order: list, n: int) -> DataFrame:

@@ -53,14 +53,12 @@ register("O-level-filter", "arcs", lambda a: D.level_filter(a, ["span", "induce"
 register("O-wave-edges", "edges wsources", lambda e, w: D.edge_waves(e, w), "SELECT e.src, e.dst, CASE WHEN a.wave < b.wave OR (a.wave = b.wave AND a.frag <= b.frag) THEN a.wave ELSE b.wave END AS wave, CASE WHEN a.wave < b.wave OR (a.wave = b.wave AND a.frag <= b.frag) THEN a.frag ELSE b.frag END AS frag FROM edges e JOIN wsources a ON e.src = a.id JOIN wsources b ON e.dst = b.id")
 register("O-direction", "edges vertices", lambda e, v: D.direction(e, value(v)), "SELECT e.src, e.dst, CAST(sign(b.value - a.value) AS INTEGER) AS direction FROM edges e JOIN vertices a ON e.src = a.id JOIN vertices b ON e.dst = b.id")
 register("O-span-dag", "steps step_levels", lambda s, l: D.span_dag(s, l), "SELECT s.src, s.dst FROM steps s JOIN step_levels a ON s.src = a.id JOIN step_levels b ON s.dst = b.id WHERE b.level = a.level + 1")
-register("O-dag-topsrc", "arcs", lambda a: a.filter("lt = ls + 1").select("src", "dst"), "SELECT src, dst FROM arcs WHERE lt = ls + 1")
 for group in ("wcc", "level"):
     name = "O-dag-wcc" if group == "wcc" else "O-dag-wf"
     both = f"x AS (SELECT a.{group} AS ga, b.{group} AS gb, l.e FROM links l JOIN nodes a ON l.src = a.node JOIN nodes b ON l.dst = b.node)"
     register(name, "nodes links", lambda n, l, g=group: D.regroup(n, l, g)[0], f"WITH {both}, i AS (SELECT ga, count(*) AS m, sum(e) AS e FROM x WHERE ga = gb GROUP BY ga) SELECT n.{group}, CAST(sum(v) AS BIGINT) AS v, CAST(sum(n.e) + coalesce(max(i.e), 0) AS BIGINT) AS e, count(*) AS meta_v, coalesce(max(m), 0) AS meta_e FROM nodes n LEFT JOIN i ON n.{group} = ga GROUP BY n.{group}")
     register(f"{name}-links", "nodes links", lambda n, l, g=group: D.regroup(n, l, g)[1], f"WITH {both} SELECT ga AS src, gb AS dst, CAST(sum(e) AS BIGINT) AS e, count(*) AS meta_e FROM x WHERE ga <> gb GROUP BY ga, gb")
 register("O-dag-check", "nodes links lineitem", lambda n, l, t: D.check_sizes(n, l, t), "SELECT CAST(a AS BIGINT) AS inside, CAST(b AS BIGINT) AS between, c AS edges, a + b = c AS holds FROM (SELECT sum(e) AS a FROM nodes) x, (SELECT sum(e) AS b FROM links) y, (SELECT count(*) AS c FROM lineitem) z")
-register("O-dag-edgecut", "nodes links", lambda n, l: D.edge_cut(n, l, 8192).select("node", "window"), None)
 register("O-dag-buck", "nodes", lambda n: rounded(B.node_buckets(n, "level")).select("node", "std_bucket", "log_bucket"), "WITH m AS (SELECT level, avg(e) AS m, stddev_pop(e) AS s, sum(e + touch) AS t FROM nodes GROUP BY level) SELECT node, CASE WHEN s > 0 THEN CAST(floor((e - m) / s) AS BIGINT) ELSE 0 END AS std_bucket, CAST(floor(log2(1 + e + touch) / log2(1 + log2(greatest(t, 2)))) AS BIGINT) AS log_bucket FROM nodes n JOIN m ON n.level = m.level")
 register("O-bucket-node", "nodes", lambda n: B.node_sample(n, "level"), "SELECT level, v, e, touch, min(node) AS node, count(*) AS n FROM nodes GROUP BY level, v, e, touch")
 register("O-large-nondense", "nodes", lambda n: B.nodes_not_dense(n).select("node"), "SELECT node FROM nodes WHERE CASE WHEN v > 1 THEN 2.0 * e / (v * (v - 1)) ELSE 0.0 END < 0.95")

@@ -15,7 +15,7 @@ def _text(df: DataFrame, lines, *more: str) -> str:
     """A text file of the rows' lines, with further lines."""
     path = new_path(df.sparkSession, "text")
     extra = df.sparkSession.createDataFrame([(m,) for m in more], "value string")
-    df.select(lines.alias("value")).unionAll(extra).coalesce(1).write.text(path)
+    df.select(lines.alias("value")).unionAll(extra).write.text(path)
     return path
 
 
@@ -47,7 +47,7 @@ def exported(e: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 PAIRS = "SELECT src, dst FROM edges"
-register("O-src-edgelist", "edges", lambda e: src.read_edge_list(e.sparkSession, _text(e, F.concat_ws("\t", "src", "dst"))), PAIRS)
+register("O-src-edgelist", "edges", lambda e: src.read_edge_list(e.sparkSession, _text(e, F.concat_ws("\t", "src", "dst", F.when(F.col("src") % 3 > 0, F.lit("0.5\tx"))))), PAIRS)  # two to four columns
 register("O-src-comment", "edges", lambda e: src.read_edge_list(e.sparkSession, _text(e, F.concat_ws("\t", "src", "dst"), "# a note", "")), PAIRS)
 register("O-src-autosep", "edges", autosep, PAIRS)
 register("O-src-paren", "edges", lambda e: src.read_edges(e.sparkSession, _text(e, F.concat(F.lit("("), F.concat_ws(",", "src", "dst"), F.lit(")")))).select(F.col("src").cast("long"), F.col("dst").cast("long")), PAIRS)

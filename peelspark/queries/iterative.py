@@ -11,6 +11,7 @@ from ..operators import partition as P
 from ..operators import paths as W
 from ..operators import peel
 from ..plans import hierarchy as H
+from ..store import keep
 from .base import FAR, register, rounded
 
 
@@ -33,9 +34,8 @@ register("O-cc-dfs", "edges vertices", lambda e, v: C.partition_components(e, v.
 register("O-lcc", "layered", lambda e: C.component_edges(e, ("layer",)), "WITH RECURSIVE adj AS (SELECT layer, src AS a, dst AS b FROM layered UNION ALL SELECT layer, dst, src FROM layered), r(layer, id, component) USING KEY (layer, id) AS (SELECT DISTINCT layer, a, a FROM adj UNION SELECT adj.layer, adj.b, min(r.component) FROM r JOIN adj ON r.layer = adj.layer AND r.id = adj.a JOIN recurring.r c ON c.layer = adj.layer AND c.id = adj.b WHERE r.component < c.component GROUP BY adj.layer, adj.b) SELECT layer, id, component FROM r")
 register("O-wcc", "wedges", lambda w: C.component_edges(w.select("src", "dst", "wave"), ("wave",)), components_sql("wave", "SELECT wave, src, dst FROM wedges") + " SELECT wave, id, component FROM r")
 register("O-level-cc", "arcs", lambda a: C.component_edges(a.filter("ls = lt").select("src", "dst", F.col("ls").alias("level")), ("level",)), components_sql("level", "SELECT ls AS level, src, dst FROM arcs WHERE ls = lt") + " SELECT level, id, component FROM r")
-register("O-coreness", "edges", peel.coreness)
 register("O-fixedpoint", "edges", peel.fixed_point_layers)
-register("O-waves", "layered", lambda e: peel.waves(peel.fixed_point_layers(e)))
+register("O-waves", "layered", lambda e: peel.waves(keep(peel.fixed_point_layers(e), "layered")))
 register("O-iter-wave", "layered", peel.iterative_waves)
 register("O-iter-edge-generic", "layered", lambda e: peel.iterative_edges(e.select("src", "dst"), lambda left: peel.coreness(left).withColumnRenamed("core", "value")))
 register("O-bfs", "edges", lambda e: W.bfs(e, first(e)).select("id", "dist"), "WITH RECURSIVE adj AS (SELECT src AS a, dst AS b FROM edges UNION ALL SELECT dst, src FROM edges), r(id, dist) USING KEY (id) AS (SELECT min(src), CAST(0 AS BIGINT) FROM edges UNION SELECT adj.b, min(r.dist) + 1 FROM r JOIN adj ON r.id = adj.a LEFT JOIN recurring.r c ON c.id = adj.b WHERE c.id IS NULL GROUP BY adj.b) SELECT id, dist FROM r")

@@ -42,7 +42,6 @@ register("O-semi", "vertices labels_v", lambda v, l: J.semi(v.select("id"), l, [
 register("O-anti", "vertices labels_v", lambda v, l: J.anti(v.select("id"), l, ["id"]), "SELECT id FROM vertices WHERE id NOT IN (SELECT id FROM labels_v)")
 register("O-classify", "orders nation", lambda o, n: J.classify(o.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("value")), n.select((F.col("n_nationkey") * 10000.0).alias("lo"), (F.col("n_nationkey") * 10000.0 + 10000).alias("hi"), F.col("n_name").alias("label"))).select("id", "label"), "SELECT o_orderkey AS id, n_name AS label FROM orders LEFT JOIN nation ON o_totalprice > n_nationkey * 10000.0 AND o_totalprice < n_nationkey * 10000.0 + 10000")
 register("O-src-extradata", "orders customer nation", lambda o, c, n: J.with_attributes(o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("k")), c.select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n")), on="k").join(n.select(F.col("n_nationkey").alias("n"), F.col("n_name").alias("country")), "n", "left").select("id", "country"), "SELECT o_orderkey AS id, n_name AS country FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey")
-register("O-src-labels", "labels_v members", lambda l, m: l.join(m.select((F.col("vertex") + FAR).alias("id"), "layer", "lcc"), "id").select("layer", "lcc", "id", "label"), f"SELECT m.layer, m.lcc, l.id, l.label FROM labels_v l JOIN members m ON l.id = m.vertex + {FAR}")
 register("O-src-sets", "lineitem", lambda l: src.property_from_sets(l.select("l_linenumber", "l_partkey").distinct().groupBy(F.col("l_linenumber").alias("k")).agg(F.collect_list("l_partkey").alias("i")).select(F.map_from_arrays(F.array("k"), F.array("i")).alias("sets"))), "SELECT l_partkey AS id, max(l_linenumber) AS value FROM lineitem GROUP BY l_partkey")
 register("O-src-csvstream", "layered", lambda e: src.to_multimap(e, ["src", "dst"], "layer").select("key", F.array_join("values", ",").alias("values")), "SELECT key, string_agg(CAST(layer AS VARCHAR), ',' ORDER BY layer) AS \"values\" FROM (SELECT src AS key, layer FROM layered UNION ALL SELECT dst, layer FROM layered) u GROUP BY key")
 

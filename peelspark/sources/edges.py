@@ -2,13 +2,39 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_edge_list(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
-    """Header-free integer pairs; lines that begin with # and empty lines are left out."""
-    return spark.read.csv(path, sep=sep, schema="src LONG, dst LONG", comment="#", mode="DROPMALFORMED")
+def _pairs(spark: SparkSession, path: str, sep: str) -> DataFrame:
+    """``value, src, dst`` of the lines of an edge list; nulls where there is no integer."""
+    lines = spark.read.text(path).filter("trim(value) <> '' AND NOT startswith(ltrim(value), '#')")
+    cells = lines.select("value", F.split("value", re.escape(sep), 3).alias("c"))
+    cell = lambda i: F.trim(F.try_element_at("c", F.lit(i))).try_cast("long")
+    return cells.select("value", cell(1).alias("src"), cell(2).alias("dst"))
+
+
+def read_edge_list(spark: SparkSession, path: str, sep: str = "\t", bad: str = "fail") -> DataFrame:
+    """Header-free integer pairs; further columns are ignored, lines that begin with # and empty lines are left out.
+
+    Any other line without two integers ends the query, or with ``bad="drop"`` is
+    left out as well; ``bad_edge_lines`` shows those.
+    """
+    pairs, right = _pairs(spark, path, sep), F.col("src").isNotNull() & F.col("dst").isNotNull()
+    if bad == "drop":
+        return pairs.filter(right).select("src", "dst")
+    wrong = F.raise_error(F.concat(F.lit("not an edge: "), F.substring("value", 1, 100))).cast("long")
+    return pairs.select(F.when(right, F.col("src")).otherwise(wrong).alias("src"), F.when(right, F.col("dst")).otherwise(wrong).alias("dst"))
+
+
+def bad_edge_lines(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
+    """The lines that ``read_edge_list`` can't read."""
+    return _pairs(spark, path, sep).filter("src IS NULL OR dst IS NULL").select("value")
 
 
 def read_edges(spark: SparkSession, path: str, properties: dict[str, str] | None = None, filters: str | None = None) -> DataFrame:
@@ -58,14 +84,35 @@ def read_json(spark: SparkSession, path: str, schema: str, documents: bool = Fal
 
 
 def random_graph(spark: SparkSession, n: int, p: float, seed: int = 1) -> DataFrame:
-    """Each pair with chance ``p``, by a hash of the pair and the seed.
+    """Each pair with chance ``p``, drawn from the seed.
 
-    The number of later neighbours of a vertex is drawn pair by pair, which is
-    what the model asks for; rows are made in parallel by first vertex.
+    The pairs, numbered row by row, are cut into blocks; inside a block the gaps
+    between chosen pairs are drawn, so that work follows the edges and not the pairs.
     """
-    pairs = spark.range(n).select(F.col("id").alias("src")).filter(F.col("src") < n - 1).select("src", F.explode(F.sequence(F.col("src") + 1, F.lit(n - 1).cast("long"))).alias("dst"))
-    draw = F.pmod(F.xxhash64(F.lit(seed), "src", "dst"), F.lit(1 << 40)) / float(1 << 40)
-    return pairs.filter(draw < p)
+    total = n * (n - 1) // 2
+    if total <= 0 or p <= 0:
+        return spark.createDataFrame([], "src long, dst long")
+    block = max(1, int(min(total, 100_000 / min(1.0, p))))
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k in b["id"]:
+                rng, first = np.random.default_rng([seed, int(k)]), int(k) * block
+                size, at = min(block, total - first), -1
+                chosen = []
+                while at < size:
+                    steps = at + np.cumsum(rng.geometric(min(1.0, p), 65_536))
+                    chosen.append(steps[steps < size])
+                    at = int(steps[-1])
+                t = first + np.concatenate(chosen)
+                # the row of a pair's number, mended where the root is not exact
+                i = np.floor((2 * n - 1 - np.sqrt((2.0 * n - 1) ** 2 - 8.0 * t)) / 2).astype(np.int64)
+                before = lambda i: i * (2 * n - i - 1) // 2
+                i = np.where(before(i) > t, i - 1, i)
+                i = np.where(before(i + 1) <= t, i + 1, i)
+                yield pd.DataFrame({"src": i, "dst": t - before(i) + i + 1})
+
+    return spark.range(-(-total // block)).mapInPandas(draw, "src long, dst long")
 
 
 def list_datasets(spark: SparkSession, folder: str) -> DataFrame:
@@ -80,6 +127,23 @@ def list_datasets(spark: SparkSession, folder: str) -> DataFrame:
     return df.groupBy("name").agg(F.min_by("kind", "rank").alias("kind"))
 
 
+def to_array(df: DataFrame, value: str, predicate: str | None = None) -> DataFrame:
+    """``value`` (an expression) of each row that the predicate keeps."""
+    return (df.filter(predicate) if predicate else df).select(F.expr(value).alias("value"))
+
+
+def to_map(df: DataFrame, key: str, value: str, order: list[str], predicate: str | None = None) -> DataFrame:
+    """``key, value``: of rows with equal keys the last one in ``order`` counts."""
+    kept = df.filter(predicate) if predicate else df
+    return kept.groupBy(F.expr(key).alias("key")).agg(F.max_by(F.expr(value), F.struct(*order)).alias("value"))
+
+
+def to_both(df: DataFrame, key: str, value: str, size: str, predicate: str | None = None) -> DataFrame:
+    """``key, values, size``: all values of a key (ascending) and the sum of their sizes."""
+    kept = df.filter(predicate) if predicate else df
+    return kept.groupBy(F.expr(key).alias("key")).agg(F.array_sort(F.collect_list(F.expr(value))).alias("values"), F.sum(F.expr(size)).alias("size"))
+
+
 def to_multimap(df: DataFrame, keys: list[str], value: str, predicate: str | None = None) -> DataFrame:
     """Rows under each of several keys: ``key, values`` (ascending)."""
     kept = df.filter(predicate) if predicate else df

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ranking import pack_buckets
+from ..store import delete  # noqa: F401  part of this module's surface
 
 
 def write_edge_list(edges: DataFrame, path: str, predicate: str | None = None, sep: str = " ") -> None:
@@ -58,8 +59,3 @@ def saved_or(spark: SparkSession, path: str, kind: str, compute) -> DataFrame:
     if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
         compute().write.parquet(f"{path}/{kind}")
     return spark.read.parquet(f"{path}/{kind}")
-
-
-def delete(spark: SparkSession, path: str) -> bool:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from peelspark.operators import bucketing, dag, layout, partition, paths, peel, ranking
+from peelspark.operators import bucketing, components, dag, layout, partition, paths, peel, ranking
 from peelspark.operators.components import component_edges, connected_components
 from peelspark.operators.edges import sanitize
 from peelspark.plans import hierarchy
@@ -48,7 +49,8 @@ def test_wide_ways_agree(spark, monkeypatch):
     assert {r.id: (r.wave, r.frag) for r in peel.waves(layered).collect()} == brute.waves(top, k)
 
 
-def test_components_are_closed_or_raise(spark):
+def test_components_are_closed_or_raise(spark, monkeypatch):
+    monkeypatch.setattr(components, "PART", 5)
     path = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
     assert {r.component for r in connected_components(path).collect()} == {0}
     with pytest.raises(RuntimeError):
@@ -66,7 +68,9 @@ def test_wide_waves_raise_the_threshold(spark, monkeypatch):
     assert (rows(), rounds()) == want and set(want[1]) == set(edges)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("part", [1 << 20, 7])
+def test_components(spark, monkeypatch, part):
+    monkeypatch.setattr(components, "PART", part)
     edges = rand(60, 0.02, 3)
     assert {r.id: r.component for r in component_edges(frame(spark, edges)).collect()} == brute.components(edges)
     line = [(i, i + 1) for i in range(50)]
@@ -74,6 +78,57 @@ def test_components(spark):
     odd = spark.createDataFrame([(1, 1), (None, 2), (3, 4), (3, 4)], "u long, v long")
     assert {r.id: r.component for r in connected_components(odd).collect()} == {1: 1, 3: 3, 4: 3}
     assert connected_components(odd.limit(0)).count() == 0
+    words = spark.createDataFrame([("b", "a"), ("c", "b"), ("x", "x"), ("z", "y")], "u string, v string")
+    assert {r.id: r.component for r in connected_components(words).collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "y", "z": "y"}
+    # components inside equal keys, one of them null, and ids beyond 2^53
+    big = 1 << 60
+    keyed = spark.createDataFrame([(None, 1, big + 1), (None, big + 1, 5), (3, 1, 9), (3, big + 1, big), (4, 1, 1)], "layer long, src long, dst long")
+    assert {(r.layer, r.id): r.component for r in component_edges(keyed, ("layer",)).collect()} == {(None, 1): 1, (None, 5): 1, (None, big + 1): 1, (3, 1): 1, (3, 9): 1, (3, big): big, (3, big + 1): big, (4, 1): 1}
+
+
+def test_contraction_joins_what_edges_join():
+    r = np.random.default_rng(2)
+    for _ in range(50):
+        n = int(r.integers(1, 80))
+        i, j = r.integers(0, n, (2, int(r.integers(0, 100))))
+        want = brute.components([(int(a), int(b)) for a, b in zip(i, j)])
+        got = components.least_joined(n, i, j)
+        assert all(got[v] == want.get(v, v) for v in range(n))
+
+
+def test_peeling_by_numbers_alone():
+    for seed in range(40):
+        edges = rand(5 + seed, 0.3 if seed % 2 else 0.08, seed)
+        if not edges:
+            continue
+        ids = sorted({v for e in edges for v in e})
+        u, v = (np.array([ids.index(e[k]) for e in edges]) for k in (0, 1))
+        assert dict(zip(ids, peel.local_coreness(u, v, len(ids)).tolist())) == brute.cores(edges)
+        assert dict(zip(edges, peel.local_layers(u, v, len(ids)).tolist())) == brute.layers(edges)
+        wave, frag = peel.local_waves(u, v, len(ids), 1)
+        assert dict(zip(ids, zip(wave.tolist(), frag.tolist()))) == brute.waves(edges, 1)
+
+
+def test_edge_lists_with_more_columns(spark, tmp_path):
+    (tmp_path / "e.tsv").write_text("# note\n1\t2\t0.5\n\n2\t3\t0.7\tx\n3\t4\n")
+    assert sorted(map(tuple, src.read_edge_list(spark, str(tmp_path / "e.tsv")).collect())) == [(1, 2), (2, 3), (3, 4)]
+    (tmp_path / "bad.tsv").write_text("1\t2\nx\t3\n4\n5\t6\t7\n")
+    with pytest.raises(Exception, match="not an edge"):
+        src.read_edge_list(spark, str(tmp_path / "bad.tsv")).collect()
+    assert sorted(map(tuple, src.read_edge_list(spark, str(tmp_path / "bad.tsv"), bad="drop").collect())) == [(1, 2), (5, 6)]
+    assert sorted(r.value for r in src.bad_edge_lines(spark, str(tmp_path / "bad.tsv")).collect()) == ["4", "x\t3"]
+
+
+def test_random_graph(spark):
+    pairs = [(r.src, r.dst) for r in src.random_graph(spark, 500, 0.1, 3).collect()]
+    assert len(set(pairs)) == len(pairs) and all(0 <= a < b < 500 for a, b in pairs)
+    assert abs(len(pairs) - 12_475) < 5 * (12_475 * 0.9) ** 0.5
+    degree = np.bincount(np.array(pairs).ravel(), minlength=500)
+    assert abs(degree[:250].mean() - degree[250:].mean()) < 3
+    assert {(r.src, r.dst) for r in src.random_graph(spark, 30, 1.0).collect()} == {(a, b) for a in range(30) for b in range(a + 1, 30)}
+    assert src.random_graph(spark, 30, 0.0).count() == 0 and src.random_graph(spark, 1, 0.5).count() == 0
+    few = [(r.src, r.dst) for r in src.random_graph(spark, 200_000, 1e-7, 1).collect()]
+    assert all(0 <= a < b < 200_000 for a, b in few) and 1_700 < len(few) < 2_300
 
 
 def test_sanitize_empty_and_loops(spark):
