@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import short_batches
 from .fitting import Spool, fitted
 from .toxicity import held_out
 
@@ -108,6 +109,7 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 
 def train(docs: DataFrame) -> dict:
     """Model of ``docs(doc_id, text, lang)``; the held-out quarter and null languages are left out."""
+    short_batches(docs.sparkSession)
     may = docs.select("doc_id", "text", "lang").filter(~held_out(F.col("doc_id"), 4, 2) & F.col("lang").isNotNull())
     sizes = {r["lang"]: r["count"] for r in may.groupBy("lang").count().collect()}
     langs = sorted(sizes)
@@ -160,6 +162,7 @@ def train(docs: DataFrame) -> dict:
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of every row."""
+    short_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def rate(texts: pd.Series) -> pd.DataFrame:

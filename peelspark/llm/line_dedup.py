@@ -2,7 +2,8 @@
 
 The index holds runs: tables of (128-bit key hash, documents that hold the key,
 ``last``), hash-bucketed and sorted, unique by key.  Documents come in batches of
-descending ids, ``BATCH`` documents each, at most ``BATCHES`` of them.  A batch's
+descending ids: one for up to ``BATCH`` documents, and one more each time they
+double, so that a batch is a share of the input and jobs stay few.  A batch's
 keys are counted and merge-anti-joined with every run (bucketed alike, so neither
 side is dealt again).  A key that no run holds is fresh: the largest ``doc_id``
 with it in this batch is the largest of all, and is stored as ``last``; a key seen
@@ -38,8 +39,8 @@ from pyspark.sql import types as T
 
 from ..store import BROADCAST, delete, drop, keep, new_path, sized
 
-#: Documents of a batch, and the most batches: a larger corpus has larger ones.
-BATCH, BATCHES = 32_768, 16
+#: Documents that make one batch.
+BATCH = 16_384
 SPACE = " \t\n\x0b\f\r"
 
 
@@ -118,7 +119,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     """The rows of ``docs`` as ``row``, with ``lines`` (all), ``dropped`` (their positions, ascending) and ``kept`` (the text left)."""
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).select("row", F.col(f"row.`{doc_id}`").alias("doc"), F.col(f"row.`{text}`").alias("body"))
     if batches is None:
-        batches = max(1, min(BATCHES, -(-docs.count() // BATCH)))
+        batches = max(0, -(-docs.count() // BATCH) - 1).bit_length() + 1
     below = cuts(rows.select("doc"), "doc", batches)
     batch = sum(((F.col("doc") <= x).cast("int") for x in below), F.lit(0))
     # a row's body is part of its identity: rows that share a doc_id lose what their own text holds

@@ -36,15 +36,15 @@ Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..store import drop, keep, sized
+from .batches import short_batches
 from .hashing import mix, text_shingles
 
 GROUPS = 128
@@ -62,8 +62,6 @@ SAMPLE = 32
 LEAF = 16
 #: Pairs whose counts are compared at once.
 BLOCK = 32_768
-#: Rows of an Arrow batch: a pair brings two whole sets, so that batches are kept short.
-BATCH = 1_000
 POINT = "n long, s1 long, s2 long, counts binary, keys array<long>"
 SIGNATURE = ["n", "s1", "s2"]
 
@@ -348,25 +346,9 @@ def still_open(members: DataFrame, parts: DataFrame, light: DataFrame) -> DataFr
     return keep(placed.join(several, "key", "left_semi").join(light, "cid"), "open")
 
 
-@contextmanager
-def short_batches(spark: SparkSession) -> Iterator[None]:
-    """Arrow batches of at most ``BATCH`` rows for the jobs run inside; the session's own setting is put back."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(BATCH, int(before)) if int(before) > 0 else BATCH))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row."""
-    with short_batches(docs.sparkSession):  # every job with Python steps runs in here
-        return _components(docs, k, percent, doc_id, text)
-
-
-def _components(docs: DataFrame, k: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    short_batches(docs.sparkSession)
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     spark = docs.sparkSession
     moved = common_tokens(docs, k)

@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..store import keep
+from .batches import short_batches
 
 #: Rests that one shard packs, on average.
 SHARD = 65_536
@@ -169,6 +170,7 @@ def filled(levels: Levels, material: Material) -> Iterator[tuple[int, int, int,
 
 def pack(docs: DataFrame, ranks: str, whole: str, pattern: str, window: int = 1024) -> DataFrame:
     """Every piece with its sequence and place there; sequences never exceed ``window``."""
+    short_batches(docs.sparkSession)
     made = keep(pieces(docs, ranks, whole, pattern, window), "pieces")
     rests = made.filter(F.col("length") < window)
     shards = max(1, -(-rests.count() // SHARD))

@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..store import BROADCAST, drop, keep
+from .batches import short_batches
 
 #: Tries in the form of the entity; later ones are longer.
 TRIES = 12
@@ -335,6 +336,7 @@ def second_tries(found: DataFrame, key: bytes) -> DataFrame:
 
 def replace(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     """``row`` (the columns of ``docs``), ``text_out``, ``n_entities`` and ``kinds`` of every row."""
+    short_batches(docs.sparkSession)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).withColumn("text", F.col(f"row.`{text}`"))
     found = keep(entities(rows).distinct(), "entities")
     tries = keep(second_tries(found, key), "second-tries")

@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import short_batches
 from .memo import Memo
 
 MARK = "▁"
@@ -131,6 +132,7 @@ def counter(path: str) -> Counter:
 
 def token_counts(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` of every row's whole text."""
+    short_batches(docs.sparkSession)
 
     def count(texts: pd.Series) -> pd.Series:
         of = counter(model)

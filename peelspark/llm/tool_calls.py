@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..store import keep
+from .batches import short_batches
 from .json_schema import canonical, escaped, parse, problems
 
 EVENT = "array<struct<idx:int,kind:string,call_id:string,name:string,body:string,json:string>>"
@@ -85,6 +86,7 @@ def events(role: str | None, text: str | None) -> list[tuple[int, str, str | Non
 
 def link(turns: DataFrame) -> DataFrame:
     """``conv_id, anchor, step, turn, idx, kind, status, problems, json`` of every event of ``turns(conv_id, turn, role, text)``."""
+    short_batches(turns.sparkSession)
 
     def read(roles: pd.Series, texts: pd.Series) -> pd.Series:
         names = ("idx", "kind", "call_id", "name", "body", "json")

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..store import BROADCAST, drop, keep
+from .batches import short_batches
 from .fitting import Spool, fitted
 from .hashing import _powers, mix
 
@@ -93,6 +94,7 @@ def held_out(doc_id, modulus: int, remainder: int):
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[float, np.ndarray, np.ndarray]:
     """Model of ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``; rows of the held-out third are left out."""
+    short_batches(docs.sparkSession)
     marked = labels.filter(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"), 3, 1)).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("y"))
     sizes = {r["y"]: r["count"] for r in marked.filter("doc_id IS NOT NULL").groupBy("y").count().collect()}
     if not sizes:
@@ -121,6 +123,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[float, np.ndarray, np.nda
 
 def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` (its columns packed as ``row``) with ``score`` and ``predicted``."""
+    short_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def rate(texts: pd.Series) -> pd.Series:
