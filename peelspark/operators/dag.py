@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..store import keep
 from .components import component_edges
+from .paths import follow, grown
 
 
 def edge_waves(edges: DataFrame, waves: DataFrame) -> DataFrame:
@@ -115,7 +116,7 @@ def topological_levels(arcs: DataFrame) -> DataFrame:
         front = keep(todo.join(left.select(F.col("dst").alias("id")), "id", "left_anti").withColumn("level", F.lit(level).cast("long")), "front")
         if front.isEmpty():
             return out if out is not None else front
-        out = front if out is None else out.unionByName(front)
+        out = grown(out, front, level)
         done = front.select("id")
         todo = keep(todo.join(done, "id", "left_anti"), "todo")
         left = keep(left.join(done, left["src"] == done["id"], "left_anti"), "arcs")
@@ -145,14 +146,11 @@ def longest_path(arcs: DataFrame) -> DataFrame:
     best = d.agg(F.max(F.col("up") + F.col("down"))).first()[0]
     on = d.filter(F.col("up") + F.col("down") == best)
     s, t = on.select(F.col("id").alias("src"), F.col("up").alias("us")), on.select(F.col("id").alias("dst"), F.col("up").alias("ut"))
-    steps = keep(arcs.select("src", "dst").distinct().join(s, "src").join(t, "dst").filter("ut = us + 1"), "steps")
-    at = on.filter("up = 0").agg(F.min("id")).first()[0]
-    path = []
-    while at is not None and len(path) < (best or 0):
-        to = steps.filter(F.col("src") == at).agg(F.min("dst")).first()[0]
-        path.append((len(path), at, to))
-        at = to
-    return arcs.sparkSession.createDataFrame(path, "pos long, src long, dst long")
+    steps = arcs.join(s, "src").join(t, "dst").filter("ut = us + 1").groupBy("src", "us").agg(F.min("dst").alias("dst"))
+    steps = keep(steps, "steps")
+    start = on.filter("up = 0").agg(F.min("id").alias("id")).filter("id IS NOT NULL")
+    path = follow(steps.select(F.col("src").alias("id"), F.col("dst").alias("to")), start)
+    return steps.join(path.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("us").alias("pos"), "src", "dst")
 
 
 def natural_weights(arcs: DataFrame) -> DataFrame:

@@ -7,12 +7,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..store import drop, keep
+from ..store import keep
 from .components import component_edges
 from .edges import both_ways, sanitize
+from .ranking import row_numbers
 
 
 def bfs(edges: DataFrame, sources: DataFrame, targets: DataFrame | None = None, max_steps: int | None = None) -> DataFrame:
@@ -38,15 +39,40 @@ def bfs(edges: DataFrame, sources: DataFrame, targets: DataFrame | None = None,
     return reached
 
 
+def grown(out: DataFrame | None, new: DataFrame, step: int) -> DataFrame:
+    """The rows so far and the new ones, a table each few steps, so that the union stays short."""
+    if out is None:
+        return new
+    return out.unionByName(new) if step % 8 else keep(out.unionByName(new), "grown")
+
+
+def follow(links: DataFrame, starts: DataFrame) -> DataFrame:
+    """``starts(..., id)`` and all that ``links(id, to)``, one for each id, lead to from there, other columns along.
+
+    The links are doubled in length with each step, so that steps grow with the
+    logarithm of the longest way.
+    """
+    others = [c for c in starts.columns if c != "id"]
+    jump, on = keep(links.filter("to IS NOT NULL").select("id", "to"), "links"), keep(starts, "followed")
+    while True:
+        new = keep(on.join(jump, "id").select(*others, F.col("to").alias("id")), "reached")
+        if new.isEmpty():
+            return on
+        on = keep(on.unionByName(new).distinct(), "followed")
+        jump = keep(jump.join(jump.select(F.col("id").alias("to"), F.col("to").alias("beyond")), "to").select("id", F.col("beyond").alias("to")), "links")
+
+
+def _paths_up(tree: DataFrame, ends: DataFrame, key: str) -> DataFrame:
+    """``key, path`` from the root of a search tree to each of ``ends(key, id)``."""
+    on = follow(tree.select("id", F.col("parent").alias("to")), ends.select(key, "id")).join(tree.select("id", "dist"), "id")
+    return on.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("dist", "id"))), lambda x: x["id"]).alias("path"))
+
+
 def shortest_paths(edges: DataFrame, source: DataFrame, targets: DataFrame) -> DataFrame:
     """``id, path`` from a source to each reachable target."""
     tree = keep(bfs(edges, source, targets), "tree")
-    paths = targets.join(tree, "id", "left_semi").select("id", F.col("id").alias("at"), F.array("id").alias("path"))
-    while True:
-        paths = keep(paths.join(tree.select(F.col("id").alias("at"), "parent"), "at"), "paths")
-        if paths.filter("parent IS NOT NULL").isEmpty():
-            return paths.select("id", "path")
-        paths = paths.select("id", F.coalesce("parent", "at").alias("at"), F.when(F.col("parent").isNull(), F.col("path")).otherwise(F.concat(F.array("parent"), "path")).alias("path"))
+    ends = targets.select("id").distinct().join(tree, "id", "left_semi").select(F.col("id").alias("target"), "id")
+    return _paths_up(tree, ends, "target").select(F.col("target").alias("id"), "path")
 
 
 def spanning_tree(edges: DataFrame, root: DataFrame) -> DataFrame:
@@ -171,35 +197,39 @@ def articulation_points(found: DataFrame) -> DataFrame:
 
 
 def sparse_net(edges: DataFrame, most_paths: int | None = None) -> DataFrame:
-    """Path cover of a connected graph: ``path_id, path``.
+    """Path cover of every component: ``path_id, path``.
 
-    The first path joins two far vertices (found by two searches); then a path
-    from the vertex farthest from the net is added until every vertex is on the
-    net or next to it.  Ties go to the smallest id.
+    The first path of a component joins two far vertices (found by two searches
+    that begin at its largest vertex); then a path from the vertex farthest from
+    the net is added until every vertex is on the net or next to it.  Ties go to
+    the smallest id.  All components search at once; the net is a table.
     """
-    edges = sanitize(edges)
-    spark = edges.sparkSession
-    one = lambda v: spark.createDataFrame([(v,)], "id long")
-    farthest = lambda d: d.orderBy(F.desc("dist"), "id").first()
-    start = edges.agg(F.max("dst")).first()[0]
-    if start is None:
-        return spark.createDataFrame([], "path_id long, path array<long>")
-    a = farthest(bfs(edges, one(start)))["id"]
-    b = farthest(bfs(edges, one(a)))["id"]
-    paths = [shortest_paths(edges, one(a), one(b)).first()["path"]]
-    while most_paths is None or len(paths) <= most_paths:
-        net = spark.createDataFrame([(v,) for v in sorted({v for p in paths for v in p})], "id long")
-        tree = keep(bfs(edges, net), "net-distances")
-        far = farthest(tree)
-        if far["dist"] <= 1:
+    edges = keep(sanitize(edges), "edges")
+    parts = keep(component_edges(edges), "parts")
+
+    def farthest(tree: DataFrame) -> DataFrame:
+        """``component, id, dist`` of the farthest vertex of each component."""
+        far = tree.select("id", "dist").join(parts, "id").groupBy("component").agg(F.max_by("id", F.struct("dist", -F.col("id"))).alias("id"), F.max("dist").alias("dist"))
+        return keep(far, "farthest")
+
+    a = farthest(bfs(edges, parts.groupBy("component").agg(F.max("id").alias("id"))))
+    tree = keep(bfs(edges, a), "tree")
+    new = keep(_paths_up(tree, farthest(tree), "component").withColumn("round", F.lit(0)), "paths")
+    paths, net, n = None, None, 0
+    while not new.isEmpty():
+        paths = grown(paths, new, n)
+        on = new.select(F.explode("path").alias("id"))
+        net = keep((on if net is None else net.unionByName(on)).distinct(), "net")
+        n += 1
+        if most_paths is not None and n > most_paths:
             break
-        path, at = [far["id"]], far["parent"]
-        while at is not None:
-            path.append(at)
-            at = tree.filter(F.col("id") == at).first()["parent"]
-        paths.append(path)
-        drop(tree)
-    return spark.createDataFrame(list(enumerate(paths)), "path_id long, path array<long>")
+        tree = keep(bfs(edges, net), "net-distances")
+        far = farthest(tree).filter("dist > 1")
+        # from the farthest vertex to the net
+        new = keep(_paths_up(tree, far, "component").select("component", F.reverse("path").alias("path"), F.lit(n).alias("round")), "paths")
+    if paths is None:
+        return edges.sparkSession.createDataFrame([], "path_id long, path array<long>")
+    return row_numbers(paths, [F.col("round"), F.col("component")], "path_id").select(F.col("path_id").cast("long").alias("path_id"), "path")
 
 
 def sparse_net_approximate(edges: DataFrame) -> DataFrame:
@@ -268,7 +298,7 @@ def next_leaf(edges: DataFrame) -> DataFrame:
         if leaf.isEmpty():
             rest = todo.select("id", F.lit(-1).cast("long").alias("step"))
             return rest if out is None else out.unionByName(rest)
-        out = leaf if out is None else out.unionByName(leaf)
+        out = grown(out, leaf, step)
         ids = leaf.select("id")
         todo = keep(todo.join(ids, "id", "left_anti"), "todo")
         left = keep(left.join(ids, left["src"] == ids["id"], "left_anti").join(ids, left["dst"] == ids["id"], "left_anti"), "left")
@@ -283,17 +313,13 @@ def expand_long_path(path: DataFrame, arcs: DataFrame, inner: DataFrame) -> Data
     """
     steps = path.join(arcs, (path["src"] == arcs["n_src"]) & (path["dst"] == arcs["n_dst"])).groupBy("pos", arcs["n_src"], arcs["n_dst"]).agg(F.min(F.struct(arcs["src"], arcs["dst"])).alias("m"))
     line = keep(steps.select("pos", "n_src", "n_dst", "m.src", "m.dst"), "line")
-    after = Window.orderBy("pos")
-    joins = line.select("n_dst", F.col("dst").alias("enter"), F.lead("src").over(after).alias("leave"), "pos").filter("leave IS NOT NULL").collect()  # one row an arc of the path
-    spark, out = path.sparkSession, []
-    first = line.orderBy("pos").first()
-    if first:
-        out.append(first["src"])
-    for r in joins:
-        e = inner.filter(F.col("node") == r["n_dst"])
-        found = [r["enter"]] if r["enter"] == r["leave"] else shortest_paths(e, spark.createDataFrame([(r["enter"],)], "id long"), spark.createDataFrame([(r["leave"],)], "id long")).first()["path"]
-        out += found
-    last = line.orderBy(F.desc("pos")).first()
-    if last:
-        out.append(last["dst"])
-    return spark.createDataFrame(list(enumerate(out)), "pos long, id long")
+    # a path visits a node once, so the ways inside all of them are searched together
+    leave = line.select((F.col("pos") - 1).alias("pos"), F.col("src").alias("leave"))
+    joins = keep(line.select("pos", F.col("n_dst").alias("node"), F.col("dst").alias("enter")).join(leave, "pos"), "joins")
+    own = inner.join(joins.select("node"), "node", "left_semi").select("src", "dst")
+    tree = keep(bfs(own, joins.select(F.col("enter").alias("id")), joins.select(F.col("leave").alias("id"))), "ways")
+    ways = follow(tree.select("id", F.col("parent").alias("to")), joins.select("pos", F.col("leave").alias("id"))).join(tree.select("id", "dist"), "id").select("pos", "dist", "id")
+    zero = F.lit(0).cast("long").alias("dist")
+    ends = line.agg(F.min_by("src", "pos").alias("first"), F.max_by("dst", "pos").alias("last"), F.max("pos").alias("most")).filter("most IS NOT NULL")
+    ends = ends.select(F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("pos"), zero, F.col("first").alias("id")), F.struct(F.col("most").alias("pos"), zero, F.col("last").alias("id")))).alias("e")).select("e.*")
+    return row_numbers(ways.unionByName(ends), [F.col("pos"), F.col("dist")], "n").select(F.col("n").cast("long").alias("pos"), "id")

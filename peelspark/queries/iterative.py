@@ -41,18 +41,21 @@ register("O-iter-edge-generic", "layered", lambda e: peel.iterative_edges(e.sele
 register("O-bfs", "edges", lambda e: W.bfs(e, first(e)).select("id", "dist"), "WITH RECURSIVE adj AS (SELECT src AS a, dst AS b FROM edges UNION ALL SELECT dst, src FROM edges), r(id, dist) USING KEY (id) AS (SELECT min(src), CAST(0 AS BIGINT) FROM edges UNION SELECT adj.b, min(r.dist) + 1 FROM r JOIN adj ON r.id = adj.a LEFT JOIN recurring.r c ON c.id = adj.b WHERE c.id IS NULL GROUP BY adj.b) SELECT id, dist FROM r")
 register("O-sssp-paths", "edges", lambda e: W.shortest_paths(e, first(e), e.agg(F.max("src").alias("id"))))
 register("O-spanning-tree", "forest", lambda e: W.spanning_tree(e, e.select(F.col("src").alias("id")).distinct()), "SELECT src, dst FROM forest")
-register("O-dijkstra", "customer nation supplier", lambda c, n, s: W.dijkstra(n.select(F.lit(1).cast("long").alias("net"), F.col("n_nationkey").cast("long").alias("src"), (F.col("n_regionkey") + 100).cast("long").alias("dst"), (F.col("n_nationkey") + 1.0).alias("weight")), 0, 24))
+# one network for each supplier, of its parts in order; the way along it is the only one
+register("O-dijkstra", "layered", lambda e: rounded(W.dijkstra(e.groupBy((F.col("dst") - FAR).alias("net")).agg(F.array_sort(F.collect_list("src")).alias("p")).select("net", F.posexplode(F.concat(F.array(F.lit(0).cast("long")), "p", F.array(F.lit(FAR).cast("long")))).alias("k", "src"), "p").select("net", "src", F.coalesce(F.get("p", "k"), F.lit(FAR)).cast("long").alias("dst"), (F.col("k") + 0.5).alias("weight")).filter("src < dst"), 0, FAR)), f"WITH p AS (SELECT dst - {FAR} AS net, src AS id, row_number() OVER (PARTITION BY dst ORDER BY src) AS pos, count(*) OVER (PARTITION BY dst) AS n FROM layered) SELECT net, pos, id, round(pos * pos / 2.0, 6) AS dist FROM p UNION ALL SELECT net, CAST(0 AS BIGINT), CAST(0 AS BIGINT), 0.0 FROM p WHERE pos = 1 UNION ALL SELECT net, n + 1, {FAR}, round((n + 1) * (n + 1) / 2.0, 6) FROM p WHERE pos = 1")
 register("O-mst", "positions", lambda p: W.minimum_tree(p.select(F.lit(1).cast("long").alias("net"), F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), (F.abs("y") + 1).alias("weight")), p, 1))
-register("O-sparsenet", "forest nation", lambda f, n: W.sparse_net(n.select(F.col("n_nationkey").cast("long").alias("src"), (F.col("n_regionkey") + 100).cast("long").alias("dst")).unionByName(n.select((F.col("n_regionkey") + 100).cast("long").alias("src"), F.lit(999).cast("long").alias("dst")))))
-register("O-sparsenet-approx", "nation", lambda n: W.sparse_net_approximate(n.select(F.col("n_nationkey").cast("long").alias("src"), (F.col("n_regionkey") + 100).cast("long").alias("dst")).unionByName(n.select((F.col("n_regionkey") + 100).cast("long").alias("src"), F.lit(999).cast("long").alias("dst")))))
+# a star is covered by the path of its two smallest leaves, a lone edge by itself
+STARS = "WITH f AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS r, count(*) OVER (PARTITION BY src) AS n FROM forest) SELECT CASE WHEN count(*) = 2 THEN min(dst) || ',' || src || ',' || max(dst) ELSE src || ',' || min(dst) END AS path FROM f WHERE r <= 2 GROUP BY src"
+register("O-sparsenet", "forest", lambda e: W.sparse_net(e).select(F.array_join("path", ",").alias("path")), STARS)
+register("O-sparsenet-approx", "forest", lambda e: W.sparse_net_approximate(e).select(F.array_join("path", ",").alias("path")), STARS)
 
 # paths along lines of an order stand for a path cover
 lines = lambda l: l.groupBy(F.col("l_orderkey").alias("path_id")).agg(F.array_sort(F.collect_set(F.struct("l_linenumber", "l_partkey"))).alias("p")).select("path_id", F.transform("p", lambda x: x["l_partkey"]).alias("path"))
 PLACES = "(SELECT l_orderkey AS path_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS INTEGER) AS pos, l_partkey AS id FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem) d)"
 register("O-edge-paths", "lineitem", lambda l: E.path_edges(lines(l)), f"WITH p AS {PLACES} SELECT a.path_id, a.pos, a.id AS src, b.id AS dst FROM p a JOIN p b ON a.path_id = b.path_id AND b.pos = a.pos + 1")
 register("O-vertex-paths", "lineitem", lambda l: W.vertex_paths(lines(l)), f"SELECT path_id, pos, id FROM {PLACES} p")
-register("O-path-subgraph", "edges orders", lambda e, o: E.path_subgraph(e, o.filter("o_totalprice > 200000").select(F.col("o_custkey").alias("path_id"), F.array(F.col("o_orderkey"), F.col("o_custkey") + FAR).alias("path"))), f"WITH v AS (SELECT o_orderkey AS id FROM orders WHERE o_totalprice > 200000 UNION SELECT o_custkey + {FAR} FROM orders WHERE o_totalprice > 200000) SELECT src, dst FROM edges WHERE src IN (SELECT id FROM v) AND dst IN (SELECT id FROM v)")
-register("O-sparsenet-subgraph", "edges lineitem", lambda e, l: E.sparse_net_subgraph(e, l.filter("l_linenumber = 1").select(F.col("l_orderkey").alias("path_id"), F.array(F.col("l_orderkey"), F.col("l_partkey") + FAR).alias("path"))), f"SELECT DISTINCT l_orderkey AS src, {FAR} + l_partkey AS dst FROM lineitem WHERE l_linenumber = 1")
+register("O-path-subgraph", "edges orders", lambda e, o: E.path_subgraph(e, o.select(F.col("o_custkey").alias("path_id"), F.array(F.col("o_orderkey"), F.col("o_custkey") + FAR).alias("path"))), f"WITH v AS (SELECT o_orderkey AS id FROM orders UNION SELECT o_custkey + {FAR} FROM orders) SELECT src, dst FROM edges WHERE src IN (SELECT id FROM v) AND dst IN (SELECT id FROM v)")
+register("O-sparsenet-subgraph", "edges lineitem", lambda e, l: E.sparse_net_subgraph(e, l.select(F.col("l_orderkey").alias("path_id"), F.array(F.col("l_orderkey"), F.col("l_partkey") + FAR).alias("path"))), f"SELECT DISTINCT l_orderkey AS src, {FAR} + l_partkey AS dst FROM lineitem")
 register("O-path-assign", "edges lineitem", lambda e, l: W.assign_to_paths(e, l.select((F.col("l_linenumber")).cast("long").alias("path_id"), F.array(F.col("l_partkey") + FAR).alias("path"))), f"WITH onp AS (SELECT DISTINCT {FAR} + l_partkey AS id, CAST(l_linenumber AS BIGINT) AS path_id FROM lineitem), n AS (SELECT e.src AS id, o.path_id, count(*) AS n FROM edges e JOIN onp o ON e.dst = o.id GROUP BY 1, 2) SELECT id, path_id, n FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, path_id) AS r FROM n) x WHERE r = 1")
 register("O-landmark-cluster", "forest", lambda e: W.nearest_landmark(e, e.select(F.col("src").alias("id")).distinct()), "SELECT src AS id, CAST(0 AS BIGINT) AS dist, src AS landmark FROM (SELECT DISTINCT src FROM forest) f UNION ALL SELECT dst, 1, src FROM forest")
 register("O-landmark-midpoints", "edges lineitem", lambda e, l: W.path_midpoints(e, l.groupBy(F.col("l_returnflag").alias("path_id")).agg(F.array_sort(F.collect_set(F.col("l_partkey") + FAR)).alias("path"))), f"WITH p AS (SELECT path_id, id, row_number() OVER (PARTITION BY path_id ORDER BY id) - 1 AS pos FROM (SELECT DISTINCT l_returnflag AS path_id, {FAR} + l_partkey AS id FROM lineitem) d) SELECT e.src AS id, p.path_id, CAST(floor((min(pos) + max(pos)) / 2) AS BIGINT) AS pos FROM edges e JOIN p ON e.dst = p.id GROUP BY e.src, p.path_id")
@@ -67,7 +70,7 @@ register("O-topo-levels", "steps", D.topological_levels, f"{UP} SELECT id, max(l
 register("O-dag-longest", "steps", D.longest_paths, f"{UP}, d(id, level) AS (SELECT DISTINCT dst, CAST(0 AS BIGINT) FROM steps WHERE dst NOT IN (SELECT src FROM steps) UNION SELECT s.src, d.level + 1 FROM d JOIN steps s ON s.dst = d.id) SELECT a.id, a.up, b.down FROM (SELECT id, max(level) AS up FROM u GROUP BY id) a JOIN (SELECT id, max(level) AS down FROM d GROUP BY id) b ON a.id = b.id")
 register("O-dag-longest-path", "steps", D.longest_path)
 register("O-natural-weight", "steps", lambda s: rounded(D.natural_weights(s)), "WITH RECURSIVE o AS (SELECT src, count(*) AS n FROM steps GROUP BY src), w(id, w) AS (SELECT DISTINCT src, CAST(1 AS DOUBLE) FROM steps WHERE src NOT IN (SELECT dst FROM steps) UNION ALL SELECT s.dst, w.w / o.n FROM w JOIN steps s ON s.src = w.id JOIN o ON o.src = w.id) SELECT id, round(sum(w), 6) AS w FROM w GROUP BY id")
-register("O-search-expand", "forest", lambda e: rounded(D.search_expand(e, e.filter("src <= 20").select(F.col("src").alias("id")).distinct(), 1)), "WITH f AS (SELECT src, count(*) AS n FROM forest WHERE src <= 20 GROUP BY src) SELECT src AS id, CAST(0 AS BIGINT) AS step, CAST(1 AS DOUBLE) AS w, CAST(0 AS BIGINT) AS cut FROM f UNION ALL SELECT o.dst, 1, round(1.0 / f.n, 6), 0 FROM forest o JOIN f ON o.src = f.src")
+register("O-search-expand", "forest", lambda e: rounded(D.search_expand(e, e.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("id2")).select(F.col("id2").alias("id")), 2)), "WITH f AS (SELECT src, dst, count(*) OVER (PARTITION BY src) AS n, min(dst) OVER (PARTITION BY src) AS hit FROM forest) SELECT DISTINCT hit AS id, CAST(0 AS BIGINT) AS step, CAST(1 AS DOUBLE) AS w, CAST(0 AS BIGINT) AS cut FROM f UNION ALL SELECT DISTINCT src, 1, 1.0, 0 FROM f UNION ALL SELECT dst, 2, round(1.0 / (n - 1), 6), 0 FROM f WHERE dst <> hit")
 register("O-dag-meta", "arcs levels", lambda a, l: D.meta_dag(a, l.select("id", "level"))[0])
 register("O-dag-meta-links", "arcs levels", lambda a, l: D.meta_dag(a, l.select("id", "level"))[1])
 register("O-dag-connect-jump", "steps step_levels", lambda s, l: D.connect_by_jumps(s.join(l.toDF("src", "ls"), "src").join(l.toDF("dst", "lt"), "dst")))
