@@ -42,7 +42,7 @@ register("O-bfs", "edges", lambda e: W.bfs(e, first(e)).select("id", "dist"), "W
 register("O-sssp-paths", "edges", lambda e: W.shortest_paths(e, first(e), e.agg(F.max("src").alias("id"))))
 register("O-spanning-tree", "forest", lambda e: W.spanning_tree(e, e.select(F.col("src").alias("id")).distinct()), "SELECT src, dst FROM forest")
 # one network for each supplier, of its parts in order; the way along it is the only one
-register("O-dijkstra", "layered", lambda e: rounded(W.dijkstra(e.groupBy((F.col("dst") - FAR).alias("net")).agg(F.array_sort(F.collect_list("src")).alias("p")).select("net", F.posexplode(F.concat(F.array(F.lit(0).cast("long")), "p", F.array(F.lit(FAR).cast("long")))).alias("k", "src"), "p").select("net", "src", F.coalesce(F.get("p", "k"), F.lit(FAR)).cast("long").alias("dst"), (F.col("k") + 0.5).alias("weight")).filter("src < dst"), 0, FAR)), f"WITH p AS (SELECT dst - {FAR} AS net, src AS id, row_number() OVER (PARTITION BY dst ORDER BY src) AS pos, count(*) OVER (PARTITION BY dst) AS n FROM layered) SELECT net, pos, id, round(pos * pos / 2.0, 6) AS dist FROM p UNION ALL SELECT net, CAST(0 AS BIGINT), CAST(0 AS BIGINT), 0.0 FROM p WHERE pos = 1 UNION ALL SELECT net, n + 1, {FAR}, round((n + 1) * (n + 1) / 2.0, 6) FROM p WHERE pos = 1")
+register("O-dijkstra", "layered", lambda e: rounded(W.dijkstra(e.groupBy((F.col("dst") - FAR).alias("net")).agg(F.array_sort(F.collect_list("src")).alias("p")).select("net", F.posexplode(F.concat(F.array(F.lit(-1).cast("long")), "p", F.array(F.lit(FAR).cast("long")))).alias("k", "src"), "p").select("net", "src", F.coalesce(F.get("p", "k"), F.lit(FAR)).cast("long").alias("dst"), (F.col("k") + 0.5).alias("weight")).filter("src < dst"), -1, FAR)), f"WITH p AS (SELECT dst - {FAR} AS net, src AS id, row_number() OVER (PARTITION BY dst ORDER BY src) AS pos, count(*) OVER (PARTITION BY dst) AS n FROM layered) SELECT net, pos, id, round(pos * pos / 2.0, 6) AS dist FROM p UNION ALL SELECT net, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), 0.0 FROM p WHERE pos = 1 UNION ALL SELECT net, n + 1, {FAR}, round((n + 1) * (n + 1) / 2.0, 6) FROM p WHERE pos = 1")
 register("O-mst", "positions", lambda p: W.minimum_tree(p.select(F.lit(1).cast("long").alias("net"), F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), (F.abs("y") + 1).alias("weight")), p, 1))
 # a star is covered by the path of its two smallest leaves, a lone edge by itself
 STARS = "WITH f AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS r, count(*) OVER (PARTITION BY src) AS n FROM forest) SELECT CASE WHEN count(*) = 2 THEN min(dst) || ',' || src || ',' || max(dst) ELSE src || ',' || min(dst) END AS path FROM f WHERE r <= 2 GROUP BY src"
