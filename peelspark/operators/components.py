@@ -43,11 +43,13 @@ def least_joined(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _fields(c: str, kind: T.DataType) -> list[Column] | None:
-    """A vertex column as longs in its order, each with whether it is there; None for vertices of other types."""
+    """A vertex column as longs in its order, a struct's each with whether it is there; None for vertices of other types."""
     parts = [F.col(f"{c}.`{f.name}`") for f in kind.fields] if isinstance(kind, T.StructType) else [F.col(c)]
     types = [f.dataType for f in kind.fields] if isinstance(kind, T.StructType) else [kind]
     if not all(isinstance(t, T.IntegralType) for t in types):
         return None
+    if not isinstance(kind, T.StructType):
+        return [parts[0].cast("long")]
     return [x for p in parts for x in (p.isNotNull().cast("long"), F.coalesce(p.cast("long"), F.lit(0)))]
 
 
@@ -66,11 +68,15 @@ def _contracted(edges: DataFrame, partitions: int) -> DataFrame:
             return
         pairs = np.concatenate(seen)
         ends = np.concatenate((pairs[:, :width], pairs[:, width:]))
-        order = np.lexsort(ends.T[::-1])
-        new = np.concatenate(([True], (ends[order][1:] != ends[order][:-1]).any(1)))
-        number = np.empty(len(ends), np.int64)
-        number[order] = np.cumsum(new) - 1
-        vertices = ends[order][new]
+        if width == 1:
+            vertices, number = np.unique(ends, return_inverse=True)
+            vertices, number = vertices[:, None], number.ravel()
+        else:
+            order = np.lexsort(ends.T[::-1])
+            new = np.concatenate(([True], (ends[order][1:] != ends[order][:-1]).any(1)))
+            number = np.empty(len(ends), np.int64)
+            number[order] = np.cumsum(new) - 1
+            vertices = ends[order][new]
         least = least_joined(len(vertices), number[: len(pairs)], number[len(pairs) :])
         at = np.flatnonzero(least != np.arange(len(least)))
         for i in range(0, len(at), 100_000):
@@ -81,9 +87,9 @@ def _contracted(edges: DataFrame, partitions: int) -> DataFrame:
     out = flat.mapInPandas(join, ", ".join(f"{n} long" for n in names))
 
     def vertex(c: str) -> Column:
-        own = [F.when(F.col(f"{c}{i}") == 1, F.col(f"{c}{i + 1}")) for i in range(0, width, 2)]
         if not isinstance(kind, T.StructType):
-            return own[0].cast(kind).alias(c)
+            return F.col(f"{c}0").cast(kind).alias(c)
+        own = [F.when(F.col(f"{c}{i}") == 1, F.col(f"{c}{i + 1}")) for i in range(0, width, 2)]
         return F.struct(*(x.cast(f.dataType).alias(f.name) for x, f in zip(own, kind.fields, strict=True))).alias(c)
 
     return out.select(vertex("u"), vertex("v"))

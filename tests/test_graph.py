@@ -155,6 +155,39 @@ def test_sparse_net_covers(spark):
     assert len(paths.sparse_net_approximate(frame(spark, edges)).collect()) <= len(net)
 
 
+def test_follow_and_paths(spark):
+    links = spark.createDataFrame([(i, i - 1 if i else None) for i in range(40)] + [(100, 101)], "id long, to long")
+    on = paths.follow(links, spark.createDataFrame([("a", 37), ("b", 3), ("c", 100), ("d", 500)], "key string, id long"))
+    assert {(r.key, r.id) for r in on.collect()} == {("a", i) for i in range(38)} | {("b", i) for i in range(4)} | {("c", 100), ("c", 101), ("d", 500)}
+    edges = rand(30, 0.12, 9)
+    start = edges[0][0]
+    want = brute.distances(edges, [start])
+    targets = spark.createDataFrame([(v,) for v in (*want, 900)], "id long")
+    got = {r.id: r.path for r in paths.shortest_paths(frame(spark, edges), spark.createDataFrame([(start,)], "id long"), targets).collect()}
+    assert set(got) == set(want) and all(len(p) == want[v] + 1 and p[0] == start and p[-1] == v for v, p in got.items())
+    assert all((min(a, b), max(a, b)) in edges for p in got.values() for a, b in zip(p, p[1:]))
+
+
+def test_sparse_net_of_several_components(spark):
+    edges = [(i, i + 1) for i in range(9)] + [(4, 20), (20, 21), (21, 22)] + [(50, 51), (51, 52)] + [(60, 61)]
+    net = paths.sparse_net(frame(spark, edges)).collect()
+    assert sorted(r.path_id for r in net) == list(range(len(net)))
+    on = {v for r in net for v in r.path}
+    reach = brute.distances(edges, list(on))
+    assert set(reach) == {v for e in edges for v in e} and set(reach.values()) <= {0, 1}
+    assert all((min(a, b), max(a, b)) in edges for r in net for a, b in zip(r.path, r.path[1:]))
+    assert paths.sparse_net(frame(spark, [])).count() == 0
+
+
+def test_ways_inside_nodes(spark):
+    # nodes 1, 2, 3 of a longest path; the way through 2 takes three steps inside it, that through 3 none
+    path = spark.createDataFrame([(0, 1, 2), (1, 2, 3), (2, 3, 4)], "pos long, src long, dst long")
+    arcs = spark.createDataFrame([(10, 20, 1, 2), (11, 29, 1, 2), (22, 30, 2, 3), (30, 40, 3, 4)], "src long, dst long, n_src long, n_dst long")
+    inner = spark.createDataFrame([(2, 20, 21), (2, 21, 22), (2, 20, 25), (2, 25, 26), (3, 30, 31)], "node long, src long, dst long")
+    got = paths.expand_long_path(path, arcs, inner).orderBy("pos").collect()
+    assert [r.id for r in got] == [10, 20, 21, 22, 30, 40]
+
+
 def test_blocks(spark):
     # two triangles joined by a bridge, with a tail
     edges = [(1, 2), (2, 3), (1, 3), (3, 4), (4, 5), (5, 6), (4, 6), (6, 7)]
