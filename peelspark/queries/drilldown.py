@@ -26,6 +26,5 @@ LABELED = f"j AS (SELECT DISTINCT m.layer, m.lcc, l.id, l.label FROM labels_v l
 labeled = lambda m, l: m.select("layer", "lcc", (F.col("vertex") + FAR).alias("id")).distinct().join(l, "id")
 register("O-q-label", "members labels_v", lambda m, l: labeled(m, l).filter("layer = 2 AND lcc = 4").select("id", "label"), f"WITH {LABELED} SELECT id, label FROM j WHERE layer = 2 AND lcc = 4")
 register("O-q-label-bucketed", "members labels_v", lambda m, l: R.log_top(labeled(m, l), ["layer", "lcc"], ["label", "id"]).select("layer", "lcc", "id", "label"), f"WITH {LABELED}, r AS (SELECT *, row_number() OVER (PARTITION BY layer, lcc ORDER BY label, id) AS r, count(*) OVER (PARTITION BY layer, lcc) AS n FROM j) SELECT layer, lcc, id, label FROM r WHERE r <= ceil(log2(1 + n))")
-register("O-q-building2export", "edges vertices", lambda e, v: J.semi(e, v.filter("value = 5").select(F.col("id").alias("src")), ["src"]).select(F.col("src").alias("source"), F.col("dst").alias("target")), "SELECT src AS source, dst AS target FROM edges WHERE src IN (SELECT id FROM vertices WHERE value = 5)")
 register("O-pair-labels", "members", lambda m: J.pair_labels(m.sparkSession.createDataFrame([(1, 2)], "a long, b long"), m.select(F.col("lcc").alias("part"), F.col("vertex").alias("id")).distinct(), m.select(F.col("vertex").alias("id"), F.concat(F.lit("v"), F.col("vertex").cast("string")).alias("label")).distinct()), "SELECT CAST(1 AS BIGINT) AS a, CAST(2 AS BIGINT) AS b, vertex AS id, 'v' || vertex AS label FROM (SELECT vertex FROM members WHERE lcc = 1 INTERSECT SELECT vertex FROM members WHERE lcc = 2) x")
 register("O-src-random", "region", lambda r: src.random_graph(r.sparkSession, 300, 0.05), None)

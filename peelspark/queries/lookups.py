@@ -76,15 +76,15 @@ def viewed(edges: DataFrame) -> DataFrame:
 WITH_NAMES = "SELECT e.src AS source, e.dst AS target, l.label AS name FROM {} e LEFT JOIN labels_v l ON e.dst = l.id WHERE {}"
 SELECTED = {"building": ("edges vertices", lambda e, v: J.semi(e, v.filter("value = 5").select(F.col("id").alias("src")), ["src"]), "edges", "e.src IN (SELECT id FROM vertices WHERE value = 5)"), "edgeCut": ("edges levels", lambda e, v: J.semi(e, v.filter("level BETWEEN 4 AND 7").select(F.col("id").alias("src")), ["src"]), "edges", "e.src IN (SELECT id FROM levels WHERE level BETWEEN 4 AND 7)"), "wcc": ("wedges levels", lambda w, _: w.filter("wcc = 3").select("src", "dst"), "wedges", "e.wcc = 3")}
 for name, (inputs, select, table, where) in SELECTED.items():
-    register(f"O-q-{name}2strata", f"{inputs} labels_v", lambda a, b, l, f=select: exported(f(a, b), l), WITH_NAMES.format(table, where))
-    register(f"O-q-{name}2fpViewer", inputs, lambda a, b, f=select: viewed(f(a, b)), f"SELECT e.src, e.dst FROM {table} e WHERE {where}")
-register("O-q-edgeCut-strata", "arcs labels_v", lambda a, l: exported(a.filter("floor(ls / 8) = 0 AND floor(lt / 8) = 0").select("src", "dst"), l), WITH_NAMES.format("arcs", "e.ls // 8 = 0 AND e.lt // 8 = 0"))
+    register(f"O-q-{name}2export", f"{inputs} labels_v", lambda a, b, l, f=select: exported(f(a, b), l), WITH_NAMES.format(table, where))
+    register(f"O-q-{name}2edges", inputs, lambda a, b, f=select: viewed(f(a, b)), f"SELECT e.src, e.dst FROM {table} e WHERE {where}")
+register("O-q-edgeCut-export", "arcs labels_v", lambda a, l: exported(a.filter("floor(ls / 8) = 0 AND floor(lt / 8) = 0").select("src", "dst"), l), WITH_NAMES.format("arcs", "e.ls // 8 = 0 AND e.lt // 8 = 0"))
 
 # a (layer, bucket) as a graph of its own, for either viewer
 VICINITY = "FROM layered e JOIN lccs c ON c.layer = e.layer AND c.lcc = e.dst - {} WHERE e.layer = 2 AND c.bucket = 1".format(FAR)
 near = lambda e, c: H.vicinity(e.withColumn("lcc", F.col("dst") - FAR), c, 2, 1)
-register("O-q-city-vicinity-fpviewer", "layered lccs", lambda e, c: viewed(near(e, c)), f"SELECT e.src, e.dst {VICINITY}")
-register("O-q-city-vicinity-strata", "layered lccs labels_v", lambda e, c, l: exported(near(e, c), l), f"SELECT e.src AS source, e.dst AS target, l.label AS name FROM (SELECT e.src, e.dst {VICINITY}) e LEFT JOIN labels_v l ON e.dst = l.id")
+register("O-q-city-vicinity-edges", "layered lccs", lambda e, c: viewed(near(e, c)), f"SELECT e.src, e.dst {VICINITY}")
+register("O-q-city-vicinity-export", "layered lccs labels_v", lambda e, c, l: exported(near(e, c), l), f"SELECT e.src AS source, e.dst AS target, l.label AS name FROM (SELECT e.src, e.dst {VICINITY}) e LEFT JOIN labels_v l ON e.dst = l.id")
 
 # writers and readers that other queries leave out
 register("O-snk-edgelist", "priced", lambda p: src.read_edges(p.sparkSession, _written(p, lambda d, at: sinks.write_edge_list(d, at, "quantity > 40"))).select(F.col("src").cast("long"), F.col("dst").cast("long")), "SELECT src, dst FROM priced WHERE quantity > 40")
