@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import dag as D
 from ..operators import joins as J
 from ..operators import ranking as R
 from ..plans import hierarchy as H
