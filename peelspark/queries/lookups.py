@@ -78,7 +78,7 @@ SELECTED = {"building": ("edges vertices", lambda e, v: J.semi(e, v.filter("valu
 for name, (inputs, select, table, where) in SELECTED.items():
     register(f"O-q-{name}2export", f"{inputs} labels_v", lambda a, b, l, f=select: exported(f(a, b), l), WITH_NAMES.format(table, where))
     register(f"O-q-{name}2edges", inputs, lambda a, b, f=select: viewed(f(a, b)), f"SELECT e.src, e.dst FROM {table} e WHERE {where}")
-register("O-q-edgeCut-export", "arcs labels_v", lambda a, l: exported(a.filter("floor(ls / 8) = 0 AND floor(lt / 8) = 0").select("src", "dst"), l), WITH_NAMES.format("arcs", "e.ls // 8 = 0 AND e.lt // 8 = 0"))
+register("O-q-edgeCut-export", "arcs labels_v", lambda a, l: exported(a.filter("floor(ls / 16) = 2 AND floor(lt / 16) = 2").select("src", "dst"), l), WITH_NAMES.format("arcs", "e.ls // 16 = 2 AND e.lt // 16 = 2"))
 
 # a (layer, bucket) as a graph of its own, for either viewer
 VICINITY = "FROM layered e JOIN lccs c ON c.layer = e.layer AND c.lcc = e.dst - {} WHERE e.layer = 2 AND c.bucket = 1".format(FAR)
