@@ -53,6 +53,7 @@ NUMBERS = re.compile(
     r"|(?P<card>(?<![\w-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-]))"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
 )
+DIGITS = re.compile(r"\d+")
 IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])")
 SECRET = re.compile(r"(?i)\b(?:token|secret|api[_-]?key|access[_-]?key|password|passwd)\b\s*[=:]\s*[\"']?([A-Za-z0-9_+/=.-]{8,})")
 HINTS = ("oken", "OKEN", "ecret", "ECRET", "key", "Key", "KEY", "assw", "ASSW")
@@ -142,6 +143,18 @@ def units(kind: str, normal: str) -> list[tuple[str, str]]:
     return [*((f"name-{kind[-1]}", w) for w in given), ("name", last)]
 
 
+def _numbers(text: str) -> Iterator[re.Match]:
+    """The matches of ``NUMBERS``, in order: each begins at a run of digits or one or two characters before it."""
+    end = 0
+    for run in DIGITS.finditer(text):
+        first = run.start()
+        for at in range(max(end, first - 2), first + 1):
+            if m := NUMBERS.match(text, at):
+                end = m.end()
+                yield m
+                break
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, normal form) of the entities, in order, without overlaps."""
     out = []
@@ -166,7 +179,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             continue
         if sum(map(bool, m[0].split(":"))) > 2:
             out.append((*m.span(), "ip-6", whole.exploded))
-    for m in NUMBERS.finditer(text):
+    for m in _numbers(text):
         kind, whole = m.lastgroup, ascii_digits(m[0])
         plain = re.sub(r"\D", "", whole)
         if kind == "ip" and not all(int(x) < 256 for x in whole.split(".")):

@@ -6,6 +6,7 @@ import json
 import random
 import re
 import zlib
+from unittest import mock
 
 import numpy as np
 import pytest
@@ -494,6 +495,19 @@ def test_tries_are_joined_where_they_are_many(spark, monkeypatch):
     assert rows() == want and want[0][1] == want[11][1]
 
 
+def test_numbers_are_looked_for_at_digits_only():
+    r = random.Random(6)
+    forms = ["+49 30 1234567", "(743) 555-3824", "743-555-3824", "020 7946 0958", "1.2.3.4", "123-45-6789", "4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00", "٠٢٠ ٧٩٤٦ ٠٩٥٨", "+", "(", "-", ".", " ", "AB", "7", "12", "x", "²"]
+    for _ in range(20_000):
+        text = "".join(r.choice(forms) + r.choice(["", " ", ", "]) for _ in range(r.randrange(12)))
+        assert [(*m.span(), m.lastgroup) for m in pii._numbers(text)] == [(*m.span(), m.lastgroup) for m in pii.NUMBERS.finditer(text)]
+
+    tried = mock.Mock(wraps=pii.NUMBERS)
+    with mock.patch.object(pii, "NUMBERS", tried):
+        pii.find("words without a number " * 1000 + "7")
+    assert tried.match.call_count == 3 and len(tried.mock_calls) == 3
+
+
 def test_long_surrogates_keep_their_type():
     for kind, mention, normal in [("phone", "+1 (743) 555-3824", "17435553824"), ("name-f", "Jane", "jane"), ("mail", "A.b@C.de", "a.b@c.de"), ("secret", "......1..", "......1..")]:
         values = [pii.laid_out(pii.surrogate(b"k", kind, normal, pii.TRIES + n), kind, mention) for n in range(3)]
