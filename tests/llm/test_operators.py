@@ -549,6 +549,51 @@ def test_decontamination_finds_short_items_in_groups_and_blocks(spark, monkeypat
     assert [i for i, _ in items if i not in got.get(i, [])] == []
 
 
+def test_decontamination_compares_every_passage_by_cosine(spark, monkeypatch):
+    r = random.Random(10)
+    texts = [" ".join(r.choice(WORDS) for _ in range(200)) for _ in range(40)]
+    rows = [*enumerate(texts), (90, f"{texts[0]} zuzu wewe rara lolo {texts[1]}"), (91, "")]
+    items = [(1, "zuzu wewe rara lolo"), (2, f"{WORDS[0]} {WORDS[1]} bibi koko pipi {WORDS[2]} tata sasa dudu")]
+    seen, latent = [], decontamination.latent
+    monkeypatch.setattr(decontamination, "latent", lambda held, block: (seen.append(held.count()), latent(held, block))[1])
+    got = decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert [(x.doc_id, x.item_ids, x.cover) for x in got] == [(90, [1], 1.0)] and 0 < got[0].cosine <= 1.001
+    assert seen == [len(rows)]
+
+
+@pytest.mark.parametrize("rank, cells", [(256, 4096), (256, 64), (5, 4096)])
+def test_the_floor_of_the_cosine_loses_no_pair(monkeypatch, rank, cells):
+    monkeypatch.setattr(decontamination, "CELLS", cells)
+    r = np.random.default_rng(rank)
+    size = 900
+    draw = lambda n: np.minimum(size - 1, r.zipf(1.3, n) - 1).astype(np.int32)
+    parts = [(i, np.where(r.random(n) < 0.5, draw(n), r.integers(0, size, n)).astype(np.int32)) for i, n in enumerate(r.integers(1, 57, 120))]
+    texts = [draw(n) for n in r.integers(0, 900, 60)] + [np.zeros(0, np.int32)]
+    for text in texts[:50]:  # parts with words left out and others between
+        part = parts[r.integers(len(parts))][1]
+        kept = part[r.random(len(part)) < r.choice([0.6, 0.7, 0.8, 1.0])]
+        if len(text) > len(kept) > 0:
+            at = r.integers(0, len(text) - len(kept))
+            text[at : at + len(kept)] = kept
+            text[r.integers(0, len(text), 5)] = -1
+    df = np.bincount(np.concatenate([np.unique(t[t >= 0]) for t in texts]), minlength=size)
+    block = decontamination.Block(parts, df, 400)
+    space = np.linalg.qr(r.standard_normal((len(block.idf), min(rank, len(block.idf)))))[0].astype(np.float32)
+    want = []
+    for d, text in enumerate(texts):
+        for a in decontamination.windows(len(text)):
+            words = block.number[text[a : a + decontamination.WINDOW]]
+            for (item, _), part in zip(parts, block.ids, strict=True):
+                own = np.unique(part)
+                own = own[np.lexsort((own, -block.idf[own]))][: max(1, -(-len(own) // 3))]
+                cover = decontamination.common_subsequence(part.tolist(), words.tolist()) / len(part)
+                fits = cover >= decontamination.COVER if len(part) >= decontamination.SHORT else decontamination._holds(words, part)
+                if fits and 2 * np.isin(own, words).sum() >= len(own):
+                    want.append((str(d), item, cover))
+    got = decontamination.Search(block, space).found([*map(str, range(len(texts)))], texts)
+    assert sorted((d, i, c) for d, i, _, c in got) == sorted(want) and len(want) > 40
+
+
 def test_common_subsequence():
     def plain(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
