@@ -50,7 +50,7 @@ COVER, SHORT = 0.6, 8
 #: Rows of the SVD's products that are summed together.
 ROWS = 16
 #: The most frequent terms, which are counted in whole matrices; cells that are taken at a time; pairs that are checked at a time.
-COMMON, CELLS, PAIRS = 512, 4096, 1 << 18
+COMMON, CELLS, PAIRS = 256, 4096, 1 << 18
 _BETWEEN = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 FOUND = "doc string, item_id long, cosine double, cover double"
 
@@ -174,6 +174,17 @@ class Laid:
             yield a, min(cells, self.n - a) + more, self.cell[i:j] - a, self.term[i:j]
 
 
+def _add(out: np.ndarray, to: np.ndarray, rows: np.ndarray, of: np.ndarray) -> None:
+    """``out[to] += rows[of]`` for sorted ``to`` with repeats: the first of every ``to``, then the second, and so on."""
+    start = np.flatnonzero(np.diff(to, prepend=-1))
+    n = np.diff(start, append=len(to))
+    order = np.argsort(-n, kind="stable")
+    start, left = start[order], np.searchsorted(-n[order], -np.arange(n.max(initial=0)), side="left")
+    for i, many in enumerate(left.tolist()):
+        at = start[:many] + i
+        out[to[at]] += rows[of[at]]
+
+
 class Counts:
     """Term counts of cells, of common terms as a matrix and of the others by word."""
 
@@ -184,18 +195,13 @@ class Counts:
 
     def times(self, right: np.ndarray) -> np.ndarray:
         out = self.dense @ right[: self.common]
-        if len(self.cell):
-            start = np.flatnonzero(np.diff(self.cell, prepend=-1))
-            out[self.cell[start]] += np.add.reduceat(right[self.term], start, axis=0)
+        _add(out, self.cell, right, self.term)
         return out
 
     def turned_times(self, right: np.ndarray, out: np.ndarray) -> None:
         out[: self.common] += self.dense.T @ right
-        if len(self.cell):
-            order = np.argsort(self.term, kind="stable")
-            term = self.term[order]
-            start = np.flatnonzero(np.diff(term, prepend=-1))
-            out[term[start]] += np.add.reduceat(right[self.cell[order]], start, axis=0)
+        order = np.argsort(self.term, kind="stable")
+        _add(out, self.term[order], right, self.cell[order])
 
 
 def _texts(b: pd.DataFrame) -> list[np.ndarray]:
@@ -302,7 +308,13 @@ class Search:
         many = WINDOW // STRIDE
         m = n - many + 1
         counts = Counts(n, cell, term, self.block.common)
-        over = lambda x: sum(x[i : i + m] for i in range(many))[starts]
+
+        def over(x: np.ndarray) -> np.ndarray:
+            out = x[:m] + x[1 : m + 1]
+            for i in range(2, many):
+                out += x[i : i + m]
+            return out[starts]
+
         y = over(counts.times(self.fold))
         square = (over(counts.dense) ** 2) @ self.squares[: counts.common]
         size = len(self.block.idf)
